@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, embeddings, linededup, packing, quality, sharding, simhash, warc
+from ledgerlark.llm import bpe, embeddings, linededup, packing, quality, sharding, simhash, toxicity, warc
 from ledgerlark.llm.common import shared_dir
 
 QUERIES: dict = {}
@@ -147,3 +147,12 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that learned from two thirds of the labels."""
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.trained(docs, labels.where(~held))
+    return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
