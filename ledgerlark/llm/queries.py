@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, embeddings, linededup, packing, quality, sharding, simhash, toxicity, warc
+from ledgerlark.llm import bpe, chats, embeddings, linededup, packing, quality, sharding, simhash, toxicity, warc
 from ledgerlark.llm.common import shared_dir
 
 QUERIES: dict = {}
@@ -156,3 +156,46 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = toxicity.trained(docs, labels.where(~held))
     return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, in the order of replies."""
+    found = chats.ordered(chats.linked(_table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "turn", "role", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "n_quotes", "max_level", "n_linked", "reply_to_conv", "reply_to_turn", "linked_by")
+
+
+ORACLES["op3_quotation_linking"] = r"""
+WITH RECURSIVE msgs AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+lines AS (
+  SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM msgs),
+marked AS (
+  SELECT *, len(regexp_replace(regexp_extract(line, '^[ \t]*>[> \t]*'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*>[> \t]*', '') AS body FROM lines),
+starts AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM marked),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS run FROM starts),
+pieces AS (
+  SELECT id, conv_id, turn, run, level, string_agg(CASE WHEN level > 0 THEN body ELSE line END, chr(10) ORDER BY pos) AS body
+  FROM runs GROUP BY id, conv_id, turn, run, level),
+plain AS (SELECT id, coalesce(string_agg(body, chr(10) ORDER BY run) FILTER (WHERE level = 0), '') AS own,
+                 count(*) FILTER (WHERE level > 0) AS n_quotes, max(level) AS max_level FROM pieces GROUP BY id),
+texts AS (
+  SELECT m.conv_id, m.turn, m.id, 0 AS asks, 0 AS q, own AS body FROM msgs m JOIN plain USING (id)
+  UNION ALL SELECT conv_id, turn, id, 1, row_number() OVER (PARTITION BY id ORDER BY run), body FROM pieces WHERE level > 0),
+parts AS (
+  SELECT *, 0 AS part, body AS bit FROM texts
+  UNION ALL SELECT *, generate_subscripts(string_split(body, chr(10)), 1), unnest(string_split(body, chr(10))) FROM texts),
+keys AS (
+  SELECT conv_id, turn, id, asks, q, part, lower(trim(regexp_replace(bit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS key FROM parts),
+used AS (SELECT * FROM keys WHERE key <> '' AND (part = 0 OR length(key) >= 20)),
+here AS (SELECT conv_id, key, min(turn) AS turn FROM used WHERE asks = 0 GROUP BY ALL),
+anywhere AS (SELECT key, min({'c': conv_id, 't': turn}) AS f FROM here GROUP BY key),
+met AS (
+  SELECT u.id, u.q, u.part, CASE WHEN h.turn < u.turn THEN {'c': u.conv_id, 't': h.turn} WHEN h.turn IS NULL AND a.f.c <> u.conv_id THEN a.f END AS to_
+  FROM used u LEFT JOIN here h ON h.conv_id = u.conv_id AND h.key = u.key LEFT JOIN anywhere a ON a.key = u.key WHERE u.asks = 1),
+best AS (SELECT id, count(DISTINCT q) AS n_linked, arg_min(to_, {'l': CASE WHEN part > 0 THEN 1 ELSE 0 END, 'q': q, 'p': part}) AS to_ FROM met WHERE to_ IS NOT NULL GROUP BY id),
+prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM msgs))
+SELECT m.conv_id, m.turn, m.role, sha256(p.own) AS text_sha256, p.n_quotes, p.max_level, coalesce(b.n_linked, 0) AS n_linked,
+       coalesce(b.to_.c, CASE WHEN v.prev IS NOT NULL THEN m.conv_id END) AS reply_to_conv, coalesce(b.to_.t, v.prev) AS reply_to_turn,
+       CASE WHEN b.to_ IS NOT NULL THEN 'quote' WHEN v.prev IS NOT NULL THEN 'order' END AS linked_by
+FROM msgs m JOIN plain p USING (id) LEFT JOIN best b USING (id) LEFT JOIN prev v ON v.conv_id = m.conv_id AND v.turn = m.turn
+"""
