@@ -123,9 +123,26 @@ class LineIndex:
         return out
 
 
-def index_shards(docs: DataFrame, text_col: str, min_docs: int, least: int) -> tuple[DataFrame, int]:
+def text_counts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
+    """(h, n): in how many different texts of docs each line hash occurs; rows with equal texts count once."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_batches(batches, "text", 4096):
+            own = {xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63): t for t in texts}
+            lines = []
+            for t in own.values():
+                _, h, ok = line_hashes(t, least)
+                lines.append(np.unique(h[ok]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(lines, pa.list_(pa.int64()))], ["t", "lines"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(work, "t long, lines array<long>")
+    return rows.groupBy("t").agg(F.first("lines").alias("lines")).select(F.explode("lines").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+
+
+def index_shards(docs: DataFrame, text_col: str, min_docs: int, least: int, copies: bool = True) -> tuple[DataFrame, int]:
     """(shard, blob) over the distinct hashes of lines in at least min_docs documents, and the number of shards."""
-    common = saved(document_counts(docs, text_col, least).where(F.col("n") >= min_docs))
+    counts = document_counts(docs, text_col, least) if copies else text_counts(docs, text_col, least)
+    common = saved(counts.where(F.col("n") >= min_docs))
     shards = max(1, math.ceil(common.count() / SHARD_KEYS))
     shard = F.expr(f"cast(pmod(pmod(shiftrightunsigned(h, 1), {shards}L) * 2 + (h & 1), {shards}L) as int)")  # the unsigned hash modulo shards
 
@@ -136,7 +153,7 @@ def index_shards(docs: DataFrame, text_col: str, min_docs: int, least: int) -> t
     return saved(common.select(shard.alias("shard"), "h", "n").groupBy("shard").applyInArrow(build, "shard int, blob binary")), shards
 
 
-def without_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, least: int = 1, broadcast_bytes: int = 64 << 20, stats: tuple[str, str] | None = None) -> DataFrame:
+def without_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, least: int = 1, broadcast_bytes: int = 64 << 20, stats: tuple[str, str] | None = None, copies: bool = True) -> DataFrame:
     """docs whose texts lack all lines with a key that occurs in at least min_docs rows.
 
     A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends, with A-Z in lower case; keys of fewer
@@ -147,7 +164,7 @@ def without_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int
     The arrays reach the documents in as many passes as keep each broadcast under broadcast_bytes; only more than
     one pass writes the texts between.
     """
-    blobs, shards = index_shards(docs, text_col, min_docs, least)
+    blobs, shards = index_shards(docs, text_col, min_docs, least, copies)
     sizes = {r["shard"]: r["b"] for r in blobs.select("shard", F.length("blob").alias("b")).collect()}
     groups: list[list[int]] = [[]]
     room = 0

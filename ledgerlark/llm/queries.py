@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,3 +200,10 @@ SELECT m.conv_id, m.turn, m.role, sha256(p.own) AS text_sha256, p.n_quotes, p.ma
        CASE WHEN b.to_ IS NOT NULL THEN 'quote' WHEN v.prev IS NOT NULL THEN 'order' END AS linked_by
 FROM msgs m JOIN plain p USING (id) LEFT JOIN best b USING (id) LEFT JOIN prev v ON v.conv_id = m.conv_id AND v.turn = m.turn
 """
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over documents; the ids stay behind, with their checksum."""
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
