@@ -53,6 +53,14 @@ def _stop_forms() -> list[str]:
     return sorted({w for s in STOP_WORDS for w in (s, s.capitalize())})
 
 
+def _fixed(rows: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """rows with columns computed once: filters and projections above are not rewritten in terms of their expressions.
+
+    A generator over one element is where the optimizer stops; it costs no shuffle.
+    """
+    return rows.select(*keep, F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("made")).select(*keep, "made.*")
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, columns of keep, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words).
 
@@ -61,15 +69,17 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     A null text measures as the empty one: all zero. Each row is measured by itself: no shuffle.
     """
     blank = F.lit(WORD_SPACE)
+    own = ["id", *(f"kept_{k}" for k in range(len(keep or [])))]
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep or [])), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     trimmed = F.btrim("body", blank)
-    rows = rows.select("*", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT)).alias("words"), F.filter(F.split("body", "\n"), lambda x: F.btrim(x, blank) != "").alias("lines"))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
+    rows = _fixed(rows, [*own, "body"], words=words, lines=F.filter(F.split("body", "\n"), lambda x: F.btrim(x, blank) != ""))
     n = F.size("words")
     windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1), F.element_at("words", i + 2))))
-    rows = rows.select(
-        "id", *(f"kept_{k}" for k in range(len(keep or []))), n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("body", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("words", lambda w: w.isin(_stop_forms()))).cast("long").alias("n_stop_words"), windows.alias("windows"),
+    rows = _fixed(
+        rows, own, n_words=n.cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long"), n_symbols=F.regexp_count("body", F.lit(SYMBOLS)).cast("long"),
+        n_lines=F.size("lines").cast("long"), n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        n_stop_words=F.size(F.filter("words", lambda w: w.isin(_stop_forms()))).cast("long"), windows=windows,
     )
     ranked = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # bound once by a transform over one element, so that the lambdas below do not sort anew
@@ -78,7 +88,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(at, start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"])
     repeats = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(covered)
-    return rows.select("id", *(F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep or [])), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", repeats.cast("long").alias("n_repeat_words"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words"]
+    rows = _fixed(rows, [*own, *counts], n_repeat_words=repeats.cast("long"))
+    return rows.select("id", *(F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep or [])), *counts, "n_repeat_words")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
