@@ -25,7 +25,8 @@ from ledgerlark.llm.components import connected_components
 
 SEED = 42
 LEAF, INNER = 16, 16
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: The constants of the splitmix64 generator.
+GOLDEN, MIX = 0x9E3779B97F4A7C15, (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -50,9 +51,10 @@ def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
     for k in range(n_words if len(hashes) else 0):
         h = hashes
         if k:
-            h = (h ^ (h >> np.uint64(31))) * (GOLDEN * np.uint64(2 * k + 1))
-            h = (h ^ (h >> np.uint64(29))) * GOLDEN
-            h ^= h >> np.uint64(32)
+            h = h + np.uint64(k * GOLDEN % (1 << 64))
+            h = (h ^ (h >> np.uint64(30))) * MIX[0]
+            h = (h ^ (h >> np.uint64(27))) * MIX[1]
+            h ^= h >> np.uint64(31)
         count = np.zeros(64, np.int64)
         for at in range(0, len(h), 4096):
             bits = np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
