@@ -45,7 +45,7 @@ def table_parts(text: Column, most: Column | int) -> Column:
 
     def cut(own: Column) -> Column:
         head, rows = F.slice(own, 1, 2), F.slice(own, 3, F.greatest(F.size(own) - 2, F.lit(0)))
-        figure = lambda r: F.exists(F.transform(F.split(r, r"\|"), F.trim), lambda c: c.rlike(X.FIN_CELL))
+        figure = lambda r: F.exists(F.transform(F.split(r, r"\|"), lambda x: F.trim(x)), lambda c: c.rlike(X.FIN_CELL))
         first = F.array_position(F.transform(F.slice(rows, 1, 8), figure), True)
         context = F.when(first > 0, first - 1).otherwise(F.least(F.size(rows), F.lit(8))).cast("int")
         fixed = F.concat(head, F.slice(rows, 1, context))
