@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerlark.plans import document_queries, retrieval_queries, state_queries  # noqa: F401
 from ledgerlark.plans.registry import QUERIES
 
-FLAGSHIP = lambda spark, sf_dir: QUERIES["hybrid_rrf"](spark, sf_dir)
+FLAGSHIP = QUERIES["retrieve"]
