@@ -50,8 +50,8 @@ def _keys(body: Column) -> Column:
 def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, n_quotes, max_level, n_linked, reply_to_conv, reply_to_turn, linked_by, reply_order) of each message.
 
-    text has the message's own lines only. The reply is to the original of the first quoted passage that has one
-    ('quote'; a whole passage goes before a line), else to the turn before in the conversation ('order'), else to none. Originals are earlier turns
+    text has the message's own lines only. The reply is to the original of a quoted passage ('quote'): of those that have one,
+    of the least quote level, whole passages before lines, the first; else to the turn before in the conversation ('order'), else to none. Originals are earlier turns
     of the same conversation or, failing that, the first message anywhere with that passage (the least conversation, then turn);
     a message is never its own original. reply_order sorts a conversation so that answers stand, in the order of
     their turns, beneath the messages they answer, in levels; ordered() deals rows out so.
@@ -65,10 +65,11 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     message = F.xxhash64("conv_id", "turn", "role", "body").alias("message")
     split = split.select(
         "conv_id", "turn", "role", message, F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["body"]), "\n").alias("text"),
-        F.transform(quoted, lambda r: r["body"]).alias("quotes"), F.coalesce(F.array_max(F.transform(quoted, lambda r: r["level"])), F.lit(0)).alias("max_level"),
+        quoted.alias("quotes"), F.coalesce(F.array_max(F.transform(quoted, lambda r: r["level"])), F.lit(0)).alias("max_level"),
     )
     placed = split.where("conv_id is not null and turn is not null")
-    asks = placed.where(F.size("quotes") > 0).select("conv_id", "turn", "message", F.posexplode("quotes").alias("q", "quote")).select("conv_id", "turn", "message", "q", F.posexplode(_keys(F.col("quote"))).alias("part", "h"))
+    asks = placed.where(F.size("quotes") > 0).select("conv_id", "turn", "message", F.posexplode("quotes").alias("q", "quote"))
+    asks = asks.select("conv_id", "turn", "message", "q", "quote.level", F.posexplode(_keys(F.col("quote.body"))).alias("part", "h"))
     asks = saved(asks.distinct())
     replies = None
     if not asks.isEmpty():
@@ -81,7 +82,7 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         elsewhere = (F.col("any.conv_id") != F.col("conv_id")) & F.col("here_turn").isNull()
         met = met.withColumn("to", F.when(own, F.struct("conv_id", F.col("here_turn").alias("turn"))).when(elsewhere, F.struct(F.col("any.conv_id").alias("conv_id"), F.col("any.here_turn").alias("turn"))))
         met = met.where("to is not null").groupBy("conv_id", "turn", "message")
-        replies = met.agg(F.count_distinct("q").alias("n_linked"), F.min(F.struct(F.when(F.col("part") > 0, 1).otherwise(0).alias("by_line"), "q", "part", "to"))["to"].alias("to"))
+        replies = met.agg(F.count_distinct("q").alias("n_linked"), F.min(F.struct("level", F.when(F.col("part") > 0, 1).otherwise(0).alias("by_line"), "q", "part", "to"))["to"].alias("to"))
     before = _turn_before(placed.select("conv_id", "turn").distinct())
     out = split.join(before, ["conv_id", "turn"], "left")
     if replies is not None:

@@ -53,7 +53,7 @@ def document_counts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
 
 
 def _mixed(h: np.ndarray, level: int) -> np.ndarray:
-    x = h + np.uint64(level + 1) * MIX
+    x = h + np.uint64((level + 1) * int(MIX) % (1 << 64))
     x = (x ^ (x >> np.uint64(32))) * MIX
     x = (x ^ (x >> np.uint64(29))) * MIX
     return x ^ (x >> np.uint64(32))

@@ -180,20 +180,20 @@ pieces AS (
 plain AS (SELECT id, coalesce(string_agg(body, chr(10) ORDER BY run) FILTER (WHERE level = 0), '') AS own,
                  count(*) FILTER (WHERE level > 0) AS n_quotes, max(level) AS max_level FROM pieces GROUP BY id),
 texts AS (
-  SELECT m.conv_id, m.turn, m.id, 0 AS asks, 0 AS q, own AS body FROM msgs m JOIN plain USING (id)
-  UNION ALL SELECT conv_id, turn, id, 1, row_number() OVER (PARTITION BY id ORDER BY run), body FROM pieces WHERE level > 0),
+  SELECT m.conv_id, m.turn, m.id, 0 AS asks, 0 AS q, 0 AS level, own AS body FROM msgs m JOIN plain USING (id)
+  UNION ALL SELECT conv_id, turn, id, 1, row_number() OVER (PARTITION BY id ORDER BY run), level, body FROM pieces WHERE level > 0),
 parts AS (
   SELECT *, 0 AS part, body AS bit FROM texts
   UNION ALL SELECT *, generate_subscripts(string_split(body, chr(10)), 1), unnest(string_split(body, chr(10))) FROM texts),
 keys AS (
-  SELECT conv_id, turn, id, asks, q, part, lower(trim(regexp_replace(bit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS key FROM parts),
+  SELECT conv_id, turn, id, asks, q, level, part, lower(trim(regexp_replace(bit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS key FROM parts),
 used AS (SELECT * FROM keys WHERE key <> '' AND (part = 0 OR length(key) >= 20)),
 here AS (SELECT conv_id, key, min(turn) AS turn FROM used WHERE asks = 0 GROUP BY ALL),
 anywhere AS (SELECT key, min({'c': conv_id, 't': turn}) AS f FROM here GROUP BY key),
 met AS (
-  SELECT u.id, u.q, u.part, CASE WHEN h.turn < u.turn THEN {'c': u.conv_id, 't': h.turn} WHEN h.turn IS NULL AND a.f.c <> u.conv_id THEN a.f END AS to_
+  SELECT u.id, u.q, u.level, u.part, CASE WHEN h.turn < u.turn THEN {'c': u.conv_id, 't': h.turn} WHEN h.turn IS NULL AND a.f.c <> u.conv_id THEN a.f END AS to_
   FROM used u LEFT JOIN here h ON h.conv_id = u.conv_id AND h.key = u.key LEFT JOIN anywhere a ON a.key = u.key WHERE u.asks = 1),
-best AS (SELECT id, count(DISTINCT q) AS n_linked, arg_min(to_, {'l': CASE WHEN part > 0 THEN 1 ELSE 0 END, 'q': q, 'p': part}) AS to_ FROM met WHERE to_ IS NOT NULL GROUP BY id),
+best AS (SELECT id, count(DISTINCT q) AS n_linked, arg_min(to_, {'v': level, 'l': CASE WHEN part > 0 THEN 1 ELSE 0 END, 'q': q, 'p': part}) AS to_ FROM met WHERE to_ IS NOT NULL GROUP BY id),
 prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM msgs))
 SELECT m.conv_id, m.turn, m.role, sha256(p.own) AS text_sha256, p.n_quotes, p.max_level, coalesce(b.n_linked, 0) AS n_linked,
        coalesce(b.to_.c, CASE WHEN v.prev IS NOT NULL THEN m.conv_id END) AS reply_to_conv, coalesce(b.to_.t, v.prev) AS reply_to_turn,
