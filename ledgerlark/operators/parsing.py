@@ -107,8 +107,8 @@ def heading(line: Column, patterns: list[tuple[str, str, str]] = HEADINGS) -> Co
     return found
 
 
-def candidates(lines: DataFrame, doc: str = "doc_id", first: float = 0.15, last: float = 0.97) -> DataFrame:
-    """(doc, n_lines, i, section_id, title, width, sentinel) of lines that head a section, between 15 and 97 % of the lines.
+def headed(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """lines with met (section_id, title; null where a line heads nothing) and sentinel.
 
     A short line that is only an item's number is read together with the next line that is not empty, of four at
     most: with a space, then without. Lines that the table parser put in name their section outright."""
@@ -117,12 +117,20 @@ def candidates(lines: DataFrame, doc: str = "doc_id", first: float = 0.15, last:
     following = F.coalesce(*(F.nullif(F.lead("line", k).over(ahead), F.lit("")) for k in range(1, 5)))
     rows = rows.withColumn("next", following)
     split = (F.length("line") < 35) & F.lower("line").rlike(r"^item\s*\d") & (F.length("next") < 100)
-    named = reduce(lambda c, t: c.when(F.lower(F.substr("line", F.lit(len(SENTINEL) + 1))) == t[2].lower(), F.struct(F.lit(t[1]).alias("section_id"), F.lit(t[2]).alias("title"))), [*STATEMENTS, *ITEM_CELLS], F.when(F.lit(False), F.lit(None).cast("struct<section_id:string,title:string>")))
+    none = F.lit(None).cast("struct<section_id:string,title:string>")
+    named = reduce(lambda c, t: c.when(F.lower(F.substr("line", F.lit(len(SENTINEL) + 1))) == t[2].lower(), F.struct(F.lit(t[1]).alias("section_id"), F.lit(t[2]).alias("title"))), [*STATEMENTS, *ITEM_CELLS], F.when(F.lit(False), none))
     sentinel = F.startswith("line", F.lit(SENTINEL))
-    joined = F.coalesce(heading(F.concat_ws(" ", "line", "next")), heading(F.concat("line", F.coalesce("next", F.lit("")))))
-    met = F.when(sentinel, named).otherwise(F.coalesce(heading(F.col("line")), F.when(split, joined)))
+    # one chain of patterns over up to three readings: three chains would be too long to compile
+    spaced, tight = F.concat_ws(" ", "line", "next"), F.concat("line", F.coalesce("next", F.lit("")))
+    readings = F.when(split, F.array("line", spaced, tight)).otherwise(F.array("line"))
+    found = F.filter(F.transform(readings, lambda x: heading(x)), lambda h: h.isNotNull())
+    return rows.withColumn("met", F.when(sentinel, named).otherwise(F.get(found, F.lit(0)))).withColumn("sentinel", sentinel).drop("next")
+
+
+def candidates(lines: DataFrame, doc: str = "doc_id", first: float = 0.15, last: float = 0.97) -> DataFrame:
+    """(doc, n_lines, i, section_id, title, width, sentinel) of lines that head a section, between 15 and 97 % of the lines."""
     window = F.col("i").between(F.floor(F.col("n_lines") * first), F.floor(F.col("n_lines") * last)) & (F.length("line").between(1, 250))
-    return rows.where(window).withColumn("met", met).where("met is not null").select(doc, "n_lines", "i", "met.*", F.length("line").alias("width"), sentinel.alias("sentinel"))
+    return headed(lines, doc).where(window).where("met is not null").select(doc, "n_lines", "i", "met.*", F.length("line").alias("width"), "sentinel")
 
 
 def selected(found: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -160,7 +168,7 @@ def recovered(lines: DataFrame, chosen: DataFrame, doc: str = "doc_id", least: i
 
 def early_business(lines: DataFrame, chosen: DataFrame, doc: str = "doc_id", first: float = 0.15) -> DataFrame:
     """Item 1 where it stands before the window of candidates(): the last line there that heads it."""
-    early = lines.where(F.col("i") < F.floor(F.col("n_lines") * first)).withColumn("met", heading(F.col("line"))).where("met.section_id = 'item_1_business'")
+    early = headed(lines, doc).where((F.col("i") < F.floor(F.col("n_lines") * first)) & (F.length("line") <= 250)).where("met.section_id = 'item_1_business'")
     last = early.groupBy(doc).agg(F.max_by(F.struct("n_lines", "i", "met.title"), "i").alias("best")).select(doc, F.lit("item_1_business").alias("section_id"), "best.*")
     return last.join(chosen.where("section_id = 'item_1_business'").select(doc), doc, "left_anti")
 
