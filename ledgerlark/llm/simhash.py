@@ -18,7 +18,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlark.llm.common import per_key, saved, text_batches
 from ledgerlark.llm.components import connected_components
@@ -186,29 +185,41 @@ def lowest_labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links_within(table: pa.Table, keys: list[str], names: list[str], radius: int, small: int = 48) -> pa.Table:
-    """For rows sorted by top node: an edge from each row to the lowest row that it reaches within its node."""
+def _cell_bounds(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and ends of the runs of equal keys."""
     n = table.num_rows
-    words = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-    ids = table.column("id").to_numpy()
     new = np.zeros(n, bool)
     new[0] = True
     for k in keys:
         values = table.column(k).to_numpy()
         new[1:] |= values[1:] != values[:-1]
     begin = np.nonzero(new)[0]
-    end = np.append(begin[1:], n)
-    length = end - begin
-    until = np.repeat(np.where(length <= small, end, 0), length)  # rows of small nodes: compare all their members
-    found = []
+    return begin, np.append(begin[1:], n)
+
+
+def _small_cell_pairs(words: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius in cells of at most `small` rows, a step of distance at a time over all cells."""
+    n, length = len(words), end - begin
+    until = np.repeat(np.where(length <= small, end, 0), length)
+    found, step = [], 1
     at = np.nonzero(until > np.arange(n) + 1)[0]
-    step = 1
     while len(at):
         near = at[_distance(words[at], words[at + step]) <= radius]
         found.append((near, near + step))
         step += 1
         at = at[until[at] > at + step]
-    for s, e in zip(begin[length > small].tolist(), end[length > small].tolist(), strict=True):
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+
+
+def _links_within(table: pa.Table, keys: list[str], names: list[str], radius: int, small: int = 48) -> pa.Table:
+    """For rows sorted by top node: an edge from each row to the lowest row that it reaches within its node."""
+    n = table.num_rows
+    words = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
+    ids = table.column("id").to_numpy()
+    begin, end = _cell_bounds(table, keys)
+    found = [_small_cell_pairs(words, begin, end, radius, small)]
+    large = end - begin > small
+    for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
         own = np.arange(e - s)
         for x, y in near_pairs(words[s:e], radius):
             fresh = own[x] != own[y]  # what hangs together already adds nothing
@@ -216,57 +227,112 @@ def _links_within(table: pa.Table, keys: list[str], names: list[str], radius: in
                 own = own[lowest_labels(e - s, own[x[fresh]], own[y[fresh]])]
         moved = np.nonzero(own != np.arange(e - s))[0]
         found.append((moved + s, own[moved] + s))
-    x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
     label = lowest_labels(n, x, y)
     moved = np.nonzero(label != np.arange(n))[0]
     return pa.table({"a": pa.array(ids[moved]), "b": pa.array(ids[label[moved]])})
 
 
-def near_links(reps: DataFrame, masks: list[tuple[int, int]], radius: int, most: int = 1024) -> DataFrame:
-    """Edges (a, b) between ids of distinct fingerprints (id, w0 ...) that span all links within the radius.
+SURE, ASK, MORE = 0, 1, 2
+
+
+def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: list[tuple[int, int]], sure: int, wide: int, most: int, small: int = 48) -> pa.Table:
+    """For rows sorted by top node, with classes c so far: SURE edges, which span what links of at most `sure` bits connect; ASK pairs of up
+    to `wide` bits, for each row the nearest in each of the `most` nearest other classes; and MORE for rows that have further ones.
+
+    A pair is asked in the first table in which it meets."""
+    n = table.num_rows
+    words = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
+    ids, classes, turn = (table.column(k).to_numpy() for k in ("id", "c", "t"))
+    begin, end = _cell_bounds(table, keys)
+    found = [_small_cell_pairs(words, begin, end, wide, small)]
+    large = end - begin > small
+    for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
+        found += [(x + s, y + s) for x, y in near_pairs(words[s:e], wide)]
+    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+    apart = classes[x] != classes[y]
+    x, y = x[apart], y[apart]
+    d = np.concatenate([_distance(words[x[k : k + 65_536]], words[y[k : k + 65_536]]) for k in range(0, len(x), 65_536)] or [np.empty(0, np.int32)])
+    cell = np.repeat(np.arange(len(begin)), end - begin)
+    _, first, same = np.unique(np.stack([cell, classes], axis=1), axis=0, return_index=True, return_inverse=True)
+    near = d <= sure
+    label = lowest_labels(n, np.concatenate([x[near], np.arange(n)]), np.concatenate([y[near], first[same.ravel()]]))
+    moved = np.nonzero(label != np.arange(n))[0]
+    out = [(ids[moved], ids[label[moved]], np.full(len(moved), SURE))]
+    ask = ~near & (label[x] != label[y])
+    x, y, d = x[ask], y[ask], d[ask]
+    met = np.zeros(len(x), bool)
+    for k, (w, m) in enumerate(masks[:-1]):
+        met |= (k < turn[x]) & ((words[x, w] ^ words[y, w]) & np.uint64(m) == 0)
+    x, y, d = x[~met], y[~met], d[~met]
+    a, b, d = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([d, d])
+    order = np.lexsort((b, d, label[b], a))
+    a, b, d = a[order], b[order], d[order]
+    best = np.ones(len(a), bool)
+    best[1:] = (a[1:] != a[:-1]) | (label[b[1:]] != label[b[:-1]])
+    a, b, d = a[best], b[best], d[best]
+    order = np.lexsort((b, d, a))
+    a, b = a[order], b[order]
+    start = np.nonzero(np.append(True, a[1:] != a[:-1]))[0] if len(a) else np.empty(0, np.int64)
+    place = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    more = np.unique(a[place >= most])
+    a, b = ids[a[place < most]], ids[b[place < most]]
+    out += [(np.minimum(a, b), np.maximum(a, b), np.full(len(a), ASK)), (ids[more], ids[more], np.full(len(more), MORE))]
+    a, b, kind = (np.concatenate(z) for z in zip(*out, strict=True))
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "kind": pa.array(kind.astype(np.int32))})
+
+
+CELL = ["t", "v", "x", "y"]
+
+
+def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int) -> DataFrame:
+    """reps dealt out and sorted by cell (t, v, x, y): the rows that agree on a mask.
 
     A top node with more than `most` members is dealt into parts by a hash, and each pair of parts is one cell: no
-    task holds more than two parts, and every pair of members still meets in some cell. Cells emit spanning
-    edges, fewer than their members, never all pairs.
+    task holds more than two parts, and every pair of members still meets in some cell.
     """
+    columns = reps.columns
     names = [x for x in reps.columns if x.startswith("w")]
     tops = F.array(*(F.struct(F.lit(k).alias("t"), F.col(names[w]).bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (w, m) in enumerate(masks)))
-    rows = reps.withColumn("top", F.explode(tops)).select("id", *names, "top.t", "top.v")
+    rows = reps.withColumn("top", F.explode(tops)).select(*columns, "top.t", "top.v")
     hot = saved(rows.groupBy("t", "v").count().where(F.col("count") > most).select("t", "v", F.ceil(F.col("count") / most).cast("int").alias("parts")))
-    keys = ["t", "v", "x", "y"]
     if hot.isEmpty():
-        cells = rows.select("id", *names, "t", "v", F.lit(0).alias("x"), F.lit(0).alias("y"))
+        cells = rows.select(*columns, "t", "v", F.lit(0).alias("x"), F.lit(0).alias("y"))
     else:
         own = F.pmod(F.xxhash64(*names, F.lit(7)), F.col("parts")).cast("int")
-        cells = rows.join(hot, ["t", "v"], "left").select("id", *names, "t", "v", F.coalesce("parts", F.lit(1)).alias("parts"))
+        cells = rows.join(hot, ["t", "v"], "left").select(*columns, "t", "v", F.coalesce("parts", F.lit(1)).alias("parts"))
         cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        cells = cells.select("id", *names, "t", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        cells = cells.select(*columns, "t", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(parts, *keys).sortWithinPartitions(*keys)
+    return cells.repartition(parts, *CELL).sortWithinPartitions(*CELL)
+
+
+def near_links(reps: DataFrame, masks: list[tuple[int, int]], radius: int, most: int = 1024) -> DataFrame:
+    """Edges (a, b) between ids of distinct fingerprints (id, w0 ...) that span all links within the radius.
+
+    Cells emit spanning edges, fewer than their members, never all pairs.
+    """
+    names = [x for x in reps.columns if x.startswith("w")]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return per_key(batches, keys, lambda table: _links_within(table, keys, names, radius))
+        return per_key(batches, CELL, lambda table: _links_within(table, CELL, names, radius))
 
-    return dealt.mapInArrow(work, "a long, b long")
+    return _dealt(reps, masks, most).mapInArrow(work, "a long, b long")
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def components(prints: DataFrame, radius: int, masks: list[tuple[int, int]] | None = None, recall: float = 0.98) -> DataFrame:
+def components(prints: DataFrame, radius: int) -> DataFrame:
     """prints with component_id, the smallest id reachable by links of at most `radius` differing bits.
 
-    Equal fingerprints are one node, so that a group of copies costs one row. With one word the links are complete
-    (block_masks); with more, a pair at the radius is found with probability `recall`, nearer ones oftener.
-    A fingerprint that only null ids have gets a null component_id.
+    Equal fingerprints are one node, so that a group of copies costs one row. Fingerprints have one word, and the links
+    are complete (block_masks). A fingerprint that only null ids have gets a null component_id.
     """
     names = [x for x in prints.columns if x.startswith("w")]
     reps = saved(prints.groupBy(*names).agg(F.min("id").alias("id")))
-    if masks is None:
-        rows = reps.count()
-        masks = block_masks(rows, radius) if len(names) == 1 else sampled_masks(rows, len(names), radius / (64 * len(names)), recall)
-    found = connected_components(near_links(reps.where("id is not null"), masks, radius))
+    found = connected_components(near_links(reps.where("id is not null"), block_masks(reps.count(), radius), radius))
     classes = reps.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("component_id"))
     return prints.join(classes, names, "inner")
 
@@ -275,35 +341,85 @@ def hex_digits(*words: str) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(w), 16, "0") for w in words)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, n_words: int = 1, recall: float = 0.98) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row.
 
     Null, empty and blank texts share fingerprint zero and are linked like any other; very long texts are read
     whole; repeated rows are members of one component; an empty table gives no rows; other columns are not read.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, shingle, n_words))
-    names = [f"w{k}" for k in range(n_words)]
-    return components(prints, radius, recall=recall).select(F.col("id").alias("doc_id"), hex_digits(*names).alias("fingerprint"), "component_id")
+    prints = saved(fingerprints(docs, id_col, text_col, shingle))
+    return components(prints, radius).select(F.col("id").alias("doc_id"), hex_digits("w0").alias("fingerprint"), "component_id")
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, shingles): the distinct hashes of each text's runs of words."""
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_batches(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-def radius_at(similarity: float, n_words: int) -> int:
-    """Bits that differ between two equally large sets at this Jaccard similarity, by the angle of their vectors."""
-    cosine = 2 * similarity / (1 + similarity)
-    return math.floor(64 * n_words * math.acos(cosine) / math.pi)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have at least this Jaccard similarity. Only texts that a pair names are hashed and moved."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi")
+    sets = saved(shingle_sets(named, "id", "text", shingle).dropDuplicates(["id"]))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
+    shared = F.size(F.array_intersect("own", "other"))
+    return both.where(shared >= similarity * (F.size("own") + F.size("other") - shared)).select("a", "b")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98, asked: int = 4, most: int = 1024) -> DataFrame:
+    """(id, component_id) of rows with ids that are not null, over links of at least this Jaccard similarity of runs of words.
+
+    The fingerprints' distance estimates the similarity, with a standard error that 64 * n_words bits make small. Pairs
+    more than three errors nearer than the threshold are links; those within three errors of it are verified on the
+    texts' own shingles; those beyond are none. A row first asks about its nearest pair in each of the `asked` nearest classes that it is not linked
+    with; while some row has further ones, the classes found so far are joined and four times as many are asked. The rounds end when
+    every pair in doubt has been verified or joins rows that are linked by others. Masks are sampled so that a pair at the threshold is met
+    with probability `recall`, nearer ones oftener. Equal fingerprints are one node.
+    """
+    prints = saved(fingerprints(docs, id_col, text_col, shingle, n_words).where("id is not null"))
+    names = [f"w{k}" for k in range(n_words)]
+    reps = saved(prints.groupBy(*names).agg(F.min("id").alias("id")))
+    bits = 64 * n_words
+    middle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    error = math.sqrt(middle * (1 - middle) / bits)
+    sure, wide = (math.floor(bits * (middle + k * error)) for k in (-3, 3))
+    masks = sampled_masks(reps.count(), n_words, middle, recall)
+    classes = reps.withColumn("c", F.col("id"))
+    links = None
+    while True:
+
+        def work(batches: Iterable[pa.RecordBatch], asked: int = asked) -> Iterator[pa.RecordBatch]:
+            return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, sure, wide, asked))
+
+        found = saved(_dealt(classes, masks, most).mapInArrow(work, "a long, b long, kind int"))
+        pairs = saved(found.where(F.col("kind") == ASK).select("a", "b").distinct())
+        now = found.where(F.col("kind") == SURE).select("a", "b")
+        if not pairs.isEmpty():
+            now = now.unionByName(verified(pairs, docs, id_col, text_col, shingle, similarity))
+        links = saved(now if links is None else now.unionByName(links))
+        joined = connected_components(links)
+        classes = saved(reps.join(joined, F.col("id") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "id").alias("c")))
+        if found.where(F.col("kind") == MORE).isEmpty():
+            return prints.join(classes.select(*names, F.col("c").alias("component_id")), names).select("id", "component_id")
+        asked *= 4
 
 
 def kept_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98) -> DataFrame:
     """docs without those whose component has a smaller id: one document of each group of near copies stays.
 
-    The similarity is Jaccard's over runs of five words, estimated from 512 bits (standard error about 0.02).
     Of rows that repeat an id, the least (by all columns in order) stays if the id does; a row whose id is null
     always stays. Columns and their order are those of docs.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, shingle, n_words).where("id is not null"))
-    again = saved(prints.groupBy("id").count().where(F.col("count") > 1).select(F.col("id").alias(id_col)))
+    found = saved(similar_components(docs, id_col, text_col, shingle, similarity, n_words, recall))
+    again = saved(found.groupBy("id").count().where(F.col("count") > 1).select(F.col("id").alias(id_col)))
     if not again.isEmpty():
         least = docs.join(again, id_col, "left_semi").select(*docs.columns).groupBy(F.col(id_col).alias("of_id"))
         docs = docs.join(again, id_col, "left_anti").select(*docs.columns).unionByName(least.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
-    found = components(prints, radius_at(similarity, n_words), recall=recall)
     gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -261,6 +261,24 @@ def test_one_of_each_stays(spark):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize(("asked", "most"), [(1, 16), (4, 1024)])
+def test_similarity_is_exact_near_the_threshold(spark, asked, most):
+    rng = random.Random(18)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4, 6, 9])):
+            own[at] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 40, 150]))) for _ in range(60)] + [texts[0], "", None]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    expected = classes(pairs, range(len(texts)))
+    out = {r["id"]: r["component_id"] for r in simhash.similar_components(docs_of(spark, texts), asked=asked, most=most).collect()}
+    assert out == expected
+
+
 # ---- op5
 
 
