@@ -60,8 +60,8 @@ def json_object(c: str | Column, schema: str) -> Column:
 
 def truncated(c: str | Column, most: int, suffix: str = " …") -> Column:
     """Text of at most so many tokens, marked where it was cut."""
-    end = F.regexp_extract(text_of(c), rf"(?s)^(?:\s*(?:{TOKEN})){{0,{most}}}", 0)
-    return F.when(token_count(c) > most, F.concat(end, F.lit(suffix))).otherwise(text_of(c))
+    pieces = F.regexp_extract_all(text_of(c), F.lit(rf"\s*(?:{TOKEN})"), F.lit(0))
+    return F.when(token_count(c) > most, F.concat(F.array_join(F.slice(pieces, 1, most), ""), F.lit(suffix))).otherwise(text_of(c))
 
 
 def without_noise(c: str | Column) -> Column:

@@ -69,6 +69,6 @@ def concatenated(answers: DataFrame) -> DataFrame:
 
 def extracted(sources: DataFrame) -> DataFrame:
     """Default generator: the first sentence or row of each source, with its number; a fixed text where there is none."""
-    line = F.get(X.sentences(F.regexp_extract("context", r"(?s)^[^\n]*(?:\n(?!\|)[^\n]*)?", 0)), F.lit(0))
+    line = F.get(X.sentences(F.substring_index("context", "\n", 2)), F.lit(0))
     part = F.concat(F.trim(line), F.lit(" ["), F.col("index").cast("string"), F.lit("]"))
     return sources.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", part.alias("part")))), lambda x: x["part"]), "\n").alias("answer"))
