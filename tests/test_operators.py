@@ -215,3 +215,28 @@ def test_engine(spark):
     assert out[1]["route"] == "single" and {(c["ticker"], c["fiscal_year"]) for c in out[1]["citations"]} == {("AAPL", 2024)} and "[1]" in out[1]["answer"]
     assert out[2]["route"] == "synthesis" and {c["ticker"] for c in out[2]["citations"]} == {"AAPL", "MSFT"}
     assert out[3]["route"] == "out_of_scope" and out[3]["citations"] is None
+
+
+def test_ingest_and_ask(spark, tmp_path):
+    from ledgerlark import ingestion
+    from ledgerlark.settings import Settings
+
+    folder = tmp_path / "raw" / "AAPL" / "10-K" / "0000320193-24-000123"
+    folder.mkdir(parents=True)
+    rows = "".join(f"<tr><td>Total net sales part {i}</td><td>{29510 + i}</td></tr>" for i in range(8))
+    filler = "".join(f"<p>Filler paragraph number {i} says nothing of note at all.</p>\n" for i in range(60))
+    html = f"<html><body>{filler[:900]}<p>Item 1A. Risk Factors</p><p>Many risks may harm our revenue in every market.</p>{filler}<p>Consolidated Statements of Income</p><table><tr><td>Row</td><td>2024</td></tr>{rows}</table>{filler[:600]}</body></html>"
+    (folder / "full-submission.txt").write_text(f"CONFORMED PERIOD OF REPORT:\t20240928\n<DOCUMENT>\n<TYPE>10-K\n<TEXT>\n{html}\n</TEXT>\n</DOCUMENT>")
+    settings = Settings(raw_dir=str(tmp_path / "raw"), index_dir=str(tmp_path / "index"))
+    assert [(r["ticker"], r["fiscal_year"]) for r in ingestion.run(spark, settings).collect()] == [("AAPL", 2024)]
+    assert ingestion.run(spark, settings).count() == 0
+    chunks = spark.read.parquet(f"{settings.index_dir}/chunks")
+    kinds = {(r["section_id"], r["chunk_type"]) for r in chunks.collect()}
+    assert ("fs_income_stmt", "table") in kinds and ("item_1a_risk_factors", "text") in kinds
+    assert "29510" in chunks.where("chunk_type = 'table'").first()["text"]
+    from ledgerlark.__main__ import engine
+
+    asked = spark.createDataFrame([(1, "What was Apple total net sales revenue in 2024?")], "query_id long, question string")
+    out = engine(spark, settings).ask(asked).first()
+    assert out["route"] == "single" and any(c["section"] == "Consolidated Statements of Income" for c in out["citations"])
+    assert Settings.load({"LEDGERLARK_FINAL_K": " 5 ", "LEDGERLARK_RAW_DIR": ""}).final_k == 5
