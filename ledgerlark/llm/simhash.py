@@ -92,7 +92,7 @@ def block_masks(rows: int, radius: int, group: int = 256) -> list[tuple[int, int
     return [(0, sum(c)) for c in combinations(blocks, b - radius)]
 
 
-def sampled_masks(rows: int, n_words: int, differ: float, recall: float, group: int = 32) -> list[tuple[int, int]]:
+def sampled_masks(rows: int, n_words: int, differ: float, recall: float, group: int = 64) -> list[tuple[int, int]]:
     """(word, mask) pairs for radii too wide for block_masks: disjoint masks first, then shifted ones.
 
     Two fingerprints that differ in a share `differ` of their bits agree on a mask of k bits with probability
@@ -234,59 +234,89 @@ def _links_within(table: pa.Table, keys: list[str], names: list[str], radius: in
 
 
 SURE, ASK, MORE = 0, 1, 2
+#: Pairs in doubt that are held before they are thinned to the nearest of each class.
+HELD_PAIRS = 200_000
+
+
+def _nearest(pairs: list[tuple[np.ndarray, ...]], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (row, other, distance): for each row the nearest other of each class, in the order of rows and distances."""
+    a, b, d = (np.concatenate(z) for z in zip(*pairs, strict=True))
+    order = np.lexsort((b, d, label[b], a))
+    a, b, d = a[order], b[order], d[order]
+    best = np.ones(len(a), bool)
+    best[1:] = (a[1:] != a[:-1]) | (label[b[1:]] != label[b[:-1]])
+    a, b, d = a[best], b[best], d[best]
+    order = np.lexsort((b, d, a))
+    return a[order], b[order], d[order]
 
 
 def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: list[tuple[int, int]], sure: int, wide: int, most: int, small: int = 48) -> pa.Table:
     """For rows sorted by top node, with classes c so far: SURE edges, which span what links of at most `sure` bits connect; ASK pairs of up
-    to `wide` bits, for each row the nearest in each of the `most` nearest other classes; and MORE for rows that have further ones.
+    to `wide` bits, for each row the nearest in each of the `most` nearest other classes; and MORE with the top nodes (t, v) of
+    rows that have further ones.
 
-    A pair is asked in the first table in which it meets."""
+    A pair is asked in the first table in which it meets. Pairs of large cells are thinned as they are found."""
     n = table.num_rows
     words = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-    ids, classes, turn = (table.column(k).to_numpy() for k in ("id", "c", "t"))
+    ids, classes, turn, value = (table.column(k).to_numpy() for k in ("id", "c", "t", "v"))
     begin, end = _cell_bounds(table, keys)
-    found = [_small_cell_pairs(words, begin, end, wide, small)]
     large = end - begin > small
-    for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
-        found += [(x + s, y + s) for x, y in near_pairs(words[s:e], wide)]
-    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-    apart = classes[x] != classes[y]
-    x, y = x[apart], y[apart]
-    d = np.concatenate([_distance(words[x[k : k + 65_536]], words[y[k : k + 65_536]]) for k in range(0, len(x), 65_536)] or [np.empty(0, np.int32)])
     cell = np.repeat(np.arange(len(begin)), end - begin)
     _, first, same = np.unique(np.stack([cell, classes], axis=1), axis=0, return_index=True, return_inverse=True)
-    near = d <= sure
-    label = lowest_labels(n, np.concatenate([x[near], np.arange(n)]), np.concatenate([y[near], first[same.ravel()]]))
-    moved = np.nonzero(label != np.arange(n))[0]
-    out = [(ids[moved], ids[label[moved]], np.full(len(moved), SURE))]
-    ask = ~near & (label[x] != label[y])
-    x, y, d = x[ask], y[ask], d[ask]
-    met = np.zeros(len(x), bool)
-    for k, (w, m) in enumerate(masks[:-1]):
-        met |= (k < turn[x]) & ((words[x, w] ^ words[y, w]) & np.uint64(m) == 0)
-    x, y, d = x[~met], y[~met], d[~met]
-    a, b, d = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([d, d])
-    order = np.lexsort((b, d, label[b], a))
-    a, b, d = a[order], b[order], d[order]
-    best = np.ones(len(a), bool)
-    best[1:] = (a[1:] != a[:-1]) | (label[b[1:]] != label[b[:-1]])
-    a, b, d = a[best], b[best], d[best]
-    order = np.lexsort((b, d, a))
-    a, b = a[order], b[order]
+    label = first[same.ravel()]  # rows of one class in a cell are one from the start
+    label = label[label]
+    x, y = _small_cell_pairs(words, begin, end, sure, small)
+    label = lowest_labels(n, np.concatenate([x, np.arange(n)]), np.concatenate([y, label]))
+    for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
+        own = label[s:e] - s
+        for x, y in near_pairs(words[s:e], sure):
+            fresh = own[x] != own[y]
+            if fresh.any():
+                own = own[lowest_labels(e - s, own[x[fresh]], own[y[fresh]])]
+        label[s:e] = own + s
+    held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
+    weight = 0
+
+    def take(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal held, weight
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        met = np.zeros(len(x), bool)
+        for k, (w, m) in enumerate(masks[:-1]):
+            met |= (k < turn[x]) & ((words[x, w] ^ words[y, w]) & np.uint64(m) == 0)
+        x, y = x[~met], y[~met]
+        d = _distance(words[x], words[y])
+        held += [(x, y, d), (y, x, d)]
+        weight += 2 * len(x)
+        if weight > HELD_PAIRS:
+            held = [_nearest(held, label)]
+            weight = 0
+
+    x, y = _small_cell_pairs(words, begin, end, wide, small)
+    for k in range(0, len(x), 65_536):
+        take(x[k : k + 65_536], y[k : k + 65_536])
+    for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
+        for x, y in near_pairs(words[s:e], wide):
+            for k in range(0, len(x), 65_536):
+                take(x[k : k + 65_536] + s, y[k : k + 65_536] + s)
+    a, b, _ = _nearest(held, label)
     start = np.nonzero(np.append(True, a[1:] != a[:-1]))[0] if len(a) else np.empty(0, np.int64)
     place = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-    more = np.unique(a[place >= most])
+    more = np.unique(begin[cell[a[place >= most]]])
+    moved = np.nonzero(label != np.arange(n))[0]
     a, b = ids[a[place < most]], ids[b[place < most]]
-    out += [(np.minimum(a, b), np.maximum(a, b), np.full(len(a), ASK)), (ids[more], ids[more], np.full(len(more), MORE))]
+    out = [(ids[moved], ids[label[moved]], np.full(len(moved), SURE)), (np.minimum(a, b), np.maximum(a, b), np.full(len(a), ASK)), (turn[more].astype(np.int64), value[more], np.full(len(more), MORE))]
     a, b, kind = (np.concatenate(z) for z in zip(*out, strict=True))
     return pa.table({"a": pa.array(a), "b": pa.array(b), "kind": pa.array(kind.astype(np.int32))})
 
 
 CELL = ["t", "v", "x", "y"]
+#: Top nodes (16 bytes each) that a join may broadcast; more are joined by a shuffle.
+BROADCAST_NODES = 200_000
 
 
-def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int) -> DataFrame:
-    """reps dealt out and sorted by cell (t, v, x, y): the rows that agree on a mask.
+def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, only: DataFrame | None = None) -> DataFrame:
+    """reps, or those of the top nodes in `only` (t, v), dealt out and sorted by cell (t, v, x, y): the rows that agree on a mask.
 
     A top node with more than `most` members is dealt into parts by a hash, and each pair of parts is one cell: no
     task holds more than two parts, and every pair of members still meets in some cell.
@@ -295,12 +325,16 @@ def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int) -> DataFram
     names = [x for x in reps.columns if x.startswith("w")]
     tops = F.array(*(F.struct(F.lit(k).alias("t"), F.col(names[w]).bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (w, m) in enumerate(masks)))
     rows = reps.withColumn("top", F.explode(tops)).select(*columns, "top.t", "top.v")
+    if only is not None:
+        few = only.count() <= BROADCAST_NODES
+        rows = rows.join(F.broadcast(only) if few else only, ["t", "v"], "left_semi")
     hot = saved(rows.groupBy("t", "v").count().where(F.col("count") > most).select("t", "v", F.ceil(F.col("count") / most).cast("int").alias("parts")))
     if hot.isEmpty():
         cells = rows.select(*columns, "t", "v", F.lit(0).alias("x"), F.lit(0).alias("y"))
     else:
         own = F.pmod(F.xxhash64(*names, F.lit(7)), F.col("parts")).cast("int")
-        cells = rows.join(hot, ["t", "v"], "left").select(*columns, "t", "v", F.coalesce("parts", F.lit(1)).alias("parts"))
+        few = hot.count() <= BROADCAST_NODES
+        cells = rows.join(F.broadcast(hot) if few else hot, ["t", "v"], "left").select(*columns, "t", "v", F.coalesce("parts", F.lit(1)).alias("parts"))
         cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cells = cells.select(*columns, "t", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -366,19 +400,19 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     """The pairs (a, b) whose texts have at least this Jaccard similarity. Only texts that a pair names are hashed and moved."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi")
-    sets = saved(shingle_sets(named, "id", "text", shingle).dropDuplicates(["id"]))
+    sets = saved(shingle_sets(named, "id", "text", shingle))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
     shared = F.size(F.array_intersect("own", "other"))
     return both.where(shared >= similarity * (F.size("own") + F.size("other") - shared)).select("a", "b")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98, asked: int = 4, most: int = 1024) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98, asked: int = 2, most: int = 1024) -> DataFrame:
     """(id, component_id) of rows with ids that are not null, over links of at least this Jaccard similarity of runs of words.
 
     The fingerprints' distance estimates the similarity, with a standard error that 64 * n_words bits make small. Pairs
     more than three errors nearer than the threshold are links; those within three errors of it are verified on the
     texts' own shingles; those beyond are none. A row first asks about its nearest pair in each of the `asked` nearest classes that it is not linked
-    with; while some row has further ones, the classes found so far are joined and four times as many are asked. The rounds end when
+    with; where some row has further ones, its top nodes are searched again, with the classes found so far joined and four times as many asked. The rounds end when
     every pair in doubt has been verified or joins rows that are linked by others. Masks are sampled so that a pair at the threshold is met
     with probability `recall`, nearer ones oftener. Equal fingerprints are one node.
     """
@@ -391,13 +425,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sure, wide = (math.floor(bits * (middle + k * error)) for k in (-3, 3))
     masks = sampled_masks(reps.count(), n_words, middle, recall)
     classes = reps.withColumn("c", F.col("id"))
-    links = None
+    links = only = None
     while True:
 
         def work(batches: Iterable[pa.RecordBatch], asked: int = asked) -> Iterator[pa.RecordBatch]:
             return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, sure, wide, asked))
 
-        found = saved(_dealt(classes, masks, most).mapInArrow(work, "a long, b long, kind int"))
+        found = saved(_dealt(classes, masks, most, only).mapInArrow(work, "a long, b long, kind int"))
         pairs = saved(found.where(F.col("kind") == ASK).select("a", "b").distinct())
         now = found.where(F.col("kind") == SURE).select("a", "b")
         if not pairs.isEmpty():
@@ -405,7 +439,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = saved(now if links is None else now.unionByName(links))
         joined = connected_components(links)
         classes = saved(reps.join(joined, F.col("id") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "id").alias("c")))
-        if found.where(F.col("kind") == MORE).isEmpty():
+        only = saved(found.where(F.col("kind") == MORE).select(F.col("a").cast("int").alias("t"), F.col("b").alias("v")).distinct())
+        if only.isEmpty():
             return prints.join(classes.select(*names, F.col("c").alias("component_id")), names).select("id", "component_id")
         asked *= 4
 
