@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,37 +235,59 @@ def _links_within(table: pa.Table, keys: list[str], names: list[str], radius: in
 
 
 SURE, ASK, MORE = 0, 1, 2
-#: Pairs in doubt that are held before they are thinned to the nearest of each class.
+#: Pairs in doubt that are held before they are thinned to the nearest of each two classes.
 HELD_PAIRS = 200_000
 
 
-def _nearest(pairs: list[tuple[np.ndarray, ...]], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (row, other, distance): for each row the nearest other of each class, in the order of rows and distances."""
-    a, b, d = (np.concatenate(z) for z in zip(*pairs, strict=True))
-    order = np.lexsort((b, d, label[b], a))
-    a, b, d = a[order], b[order], d[order]
-    best = np.ones(len(a), bool)
-    best[1:] = (a[1:] != a[:-1]) | (label[b[1:]] != label[b[:-1]])
-    a, b, d = a[best], b[best], d[best]
-    order = np.lexsort((b, d, a))
-    return a[order], b[order], d[order]
+def _places(keys: np.ndarray) -> np.ndarray:
+    """The place of each row in its run of equal keys."""
+    first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else np.empty(0, np.int64)
+    return np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
 
 
-def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: list[tuple[int, int]], sure: int, wide: int, most: int, small: int = 48) -> pa.Table:
+def _nearest(pairs: list[tuple[np.ndarray, ...]], most: int, per: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Of pairs (class, other class, distance, row, other row): the `per` nearest of each two classes of which one is among the
+    `most` nearest of the other; and the rows of the pairs left out."""
+    p, q, d, a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
+    order = np.lexsort((b, a, d, q, p))
+    p, q, d, a, b = (z[order] for z in (p, q, d, a, b))
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    two = np.cumsum(new) - 1
+    side, far, least = np.append(p[new], q[new]), np.append(q[new], p[new]), np.tile(d[new], 2)
+    order = np.lexsort((far, least, side))
+    rank = np.empty(len(side), np.int64)
+    rank[order] = _places(side[order])
+    keep = (np.minimum(*np.split(rank, 2)) < most)[two] & (_places(two) < per)
+    return tuple(z[keep] for z in (p, q, d, a, b)), a[~keep]
+
+
+def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: list[tuple[int, int]], sure: int, wide: int, most: int, per: int, small: int = 48) -> pa.Table:
     """For rows sorted by top node, with classes c so far: SURE edges, which span what links of at most `sure` bits connect; ASK pairs of up
-    to `wide` bits, for each row the nearest in each of the `most` nearest other classes; and MORE with the top nodes (t, v) of
-    rows that have further ones.
+    to `wide` bits with their cell, the `per` nearest of each class and each of the `most` nearest other classes; and MORE with the
+    top nodes (t, v) of cells where pairs were left out. Rows with `no` name pairs (id, no) that were refuted before.
 
     A pair is asked in the first table in which it meets. Pairs of large cells are thinned as they are found."""
+    refuted = np.empty((0, 2), np.int64)
+    if "no" in table.column_names:
+        known = table.column("no").is_valid()
+        told = table.filter(known)
+        refuted = np.stack([told.column("id").to_numpy(), told.column("no").to_numpy()], axis=1)
+        table = table.filter(pc.invert(known))
     n = table.num_rows
+    if not n:
+        return pa.Table.from_batches([], GRADED)
     words = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-    ids, classes, turn, value = (table.column(k).to_numpy() for k in ("id", "c", "t", "v"))
+    ids, classes, turn, value, own_part = (table.column(k).to_numpy() for k in ("id", "c", "t", "v", "own"))
+    mixed = table.column("x").to_numpy() != table.column("y").to_numpy()
+    distinct, code = np.unique(ids, return_inverse=True)
+    refuted = refuted[np.isin(refuted, distinct).all(axis=1)]
+    refuted = np.unique(np.searchsorted(distinct, refuted) @ np.array([len(distinct), 1]))
     begin, end = _cell_bounds(table, keys)
     large = end - begin > small
     cell = np.repeat(np.arange(len(begin)), end - begin)
     _, first, same = np.unique(np.stack([cell, classes], axis=1), axis=0, return_index=True, return_inverse=True)
     label = first[same.ravel()]  # rows of one class in a cell are one from the start
-    label = label[label]
     x, y = _small_cell_pairs(words, begin, end, sure, small)
     label = lowest_labels(n, np.concatenate([x, np.arange(n)]), np.concatenate([y, label]))
     for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
@@ -274,23 +297,33 @@ def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: li
             if fresh.any():
                 own = own[lowest_labels(e - s, own[x[fresh]], own[y[fresh]])]
         label[s:e] = own + s
-    held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
-    weight = 0
+    held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 5]
+    weight, bound = 0, HELD_PAIRS
+    left_out = np.zeros(len(begin), bool)
+
+    def thin() -> None:
+        nonlocal held, weight, bound
+        kept, out = _nearest(held, most, per)
+        left_out[cell[out]] = True
+        held, weight = [kept], len(kept[0])
+        bound = max(HELD_PAIRS, 2 * weight)
 
     def take(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal held, weight
-        apart = label[x] != label[y]
+        nonlocal weight
+        apart = (label[x] != label[y]) & ~(mixed[x] & (own_part[x] == own_part[y]))  # rows of one part meet in its own cell
         x, y = x[apart], y[apart]
         met = np.zeros(len(x), bool)
         for k, (w, m) in enumerate(masks[:-1]):
             met |= (k < turn[x]) & ((words[x, w] ^ words[y, w]) & np.uint64(m) == 0)
+        if len(refuted):
+            pair = np.minimum(code[x], code[y]) * len(distinct) + np.maximum(code[x], code[y])
+            met |= refuted[np.minimum(np.searchsorted(refuted, pair), len(refuted) - 1)] == pair
         x, y = x[~met], y[~met]
-        d = _distance(words[x], words[y])
-        held += [(x, y, d), (y, x, d)]
-        weight += 2 * len(x)
-        if weight > HELD_PAIRS:
-            held = [_nearest(held, label)]
-            weight = 0
+        p, q = label[x], label[y]
+        held.append((np.minimum(p, q), np.maximum(p, q), _distance(words[x], words[y]), x, y))
+        weight += len(x)
+        if weight > bound:
+            thin()
 
     x, y = _small_cell_pairs(words, begin, end, wide, small)
     for k in range(0, len(x), 65_536):
@@ -299,24 +332,26 @@ def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: li
         for x, y in near_pairs(words[s:e], wide):
             for k in range(0, len(x), 65_536):
                 take(x[k : k + 65_536] + s, y[k : k + 65_536] + s)
-    a, b, _ = _nearest(held, label)
-    start = np.nonzero(np.append(True, a[1:] != a[:-1]))[0] if len(a) else np.empty(0, np.int64)
-    place = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-    more = np.unique(begin[cell[a[place >= most]]])
-    moved = np.nonzero(label != np.arange(n))[0]
-    a, b = ids[a[place < most]], ids[b[place < most]]
-    out = [(ids[moved], ids[label[moved]], np.full(len(moved), SURE)), (np.minimum(a, b), np.maximum(a, b), np.full(len(a), ASK)), (turn[more].astype(np.int64), value[more], np.full(len(more), MORE))]
-    a, b, kind = (np.concatenate(z) for z in zip(*out, strict=True))
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "kind": pa.array(kind.astype(np.int32))})
+    thin()
+    _, _, _, x, y = held[0]
+    moved, more = np.nonzero(label != np.arange(n))[0], begin[left_out]
+    at = np.concatenate([moved, x, more])
+    a = np.concatenate([ids[moved], np.minimum(ids[x], ids[y]), ids[more]])
+    b = np.concatenate([ids[label[moved]], np.maximum(ids[x], ids[y]), ids[more]])
+    kind = np.repeat(np.array([SURE, ASK, MORE], np.int32), [len(moved), len(x), len(more)])
+    return pa.table([pa.array(a), pa.array(b), pa.array(kind), *(table.column(k).take(pa.array(at)) for k in CELL)], schema=GRADED)
 
 
 CELL = ["t", "v", "x", "y"]
+CELL_TYPES = "t int, v long, x int, y int"
+GRADED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()), ("t", pa.int32()), ("v", pa.int64()), ("x", pa.int32()), ("y", pa.int32())])
 #: Top nodes (16 bytes each) that a join may broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 
 
-def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, only: DataFrame | None = None) -> DataFrame:
+def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, only: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
     """reps, or those of the top nodes in `only` (t, v), dealt out and sorted by cell (t, v, x, y): the rows that agree on a mask.
+    own is a row's part of its top node. Pairs `refuted` (a, b, t, v, x, y) go to their cells as rows (id, no).
 
     A top node with more than `most` members is dealt into parts by a hash, and each pair of parts is one cell: no
     task holds more than two parts, and every pair of members still meets in some cell.
@@ -330,13 +365,15 @@ def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, only: DataF
         rows = rows.join(F.broadcast(only) if few else only, ["t", "v"], "left_semi")
     hot = saved(rows.groupBy("t", "v").count().where(F.col("count") > most).select("t", "v", F.ceil(F.col("count") / most).cast("int").alias("parts")))
     if hot.isEmpty():
-        cells = rows.select(*columns, "t", "v", F.lit(0).alias("x"), F.lit(0).alias("y"))
+        cells = rows.select(*columns, "t", "v", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"))
     else:
         own = F.pmod(F.xxhash64(*names, F.lit(7)), F.col("parts")).cast("int")
         few = hot.count() <= BROADCAST_NODES
         cells = rows.join(F.broadcast(hot) if few else hot, ["t", "v"], "left").select(*columns, "t", "v", F.coalesce("parts", F.lit(1)).alias("parts"))
         cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        cells = cells.select(*columns, "t", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        cells = cells.select(*columns, "t", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+    if refuted is not None:
+        cells = cells.unionByName(refuted.select(F.col("a").alias("id"), F.col("b").alias("no"), *CELL), allowMissingColumns=True)
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(parts, *CELL).sortWithinPartitions(*CELL)
 
@@ -396,14 +433,37 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, shingles array<long>")
 
 
+def _similar_within(table: pa.Table, similarity: float) -> pa.Table:
+    """Of the pairs (id, other) in the table, those whose sets, in the rows without other, have at least this Jaccard similarity."""
+    paired = table.column("other").is_valid()
+    members, pairs = table.filter(pc.invert(paired)), table.filter(paired)
+    of: dict[int, list[np.ndarray]] = {}
+    for i, shingles in zip(members.column("id").to_pylist(), members.column("shingles"), strict=True):
+        of.setdefault(i, []).append(shingles.values.to_numpy())
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            return False
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return shared >= similarity * (len(a) + len(b) - shared)
+
+    both = set(zip(pairs.column("id").to_pylist(), pairs.column("other").to_pylist(), strict=True))
+    found = [(a, b) for a, b in both if any(alike(u, v) for u in of.get(a, []) for v in of.get(b, []))]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have at least this Jaccard similarity. Only texts that a pair names are hashed and moved."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi")
-    sets = saved(shingle_sets(named, "id", "text", shingle))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
-    shared = F.size(F.array_intersect("own", "other"))
-    return both.where(shared >= similarity * (F.size("own") + F.size("other") - shared)).select("a", "b")
+    """(a, b) of the pairs (a, b, t, v, x, y) whose texts have at least this Jaccard similarity. Only texts that a pair names are hashed, and
+    a set moves once for each cell that names it, however many pairs do."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), *CELL).distinct()
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends.select("id").distinct(), "id", "left_semi")
+    rows = ends.join(saved(shingle_sets(named, "id", "text", shingle)), "id").unionByName(pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), *CELL), allowMissingColumns=True)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return per_key(batches, CELL, lambda table: _similar_within(table, similarity))
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(work, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98, asked: int = 2, most: int = 1024) -> DataFrame:
@@ -411,10 +471,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The fingerprints' distance estimates the similarity, with a standard error that 64 * n_words bits make small. Pairs
     more than three errors nearer than the threshold are links; those within three errors of it are verified on the
-    texts' own shingles; those beyond are none. A row first asks about its nearest pair in each of the `asked` nearest classes that it is not linked
-    with; where some row has further ones, its top nodes are searched again, with the classes found so far joined and four times as many asked. The rounds end when
-    every pair in doubt has been verified or joins rows that are linked by others. Masks are sampled so that a pair at the threshold is met
-    with probability `recall`, nearer ones oftener. Equal fingerprints are one node.
+    texts' own shingles; those beyond are none. A class first asks about its nearest pair with each of the `asked` nearest other classes;
+    top nodes where pairs were left out are searched again, with the classes found so far joined, the refuted pairs set aside and four times as
+    many classes, and pairs of each two, asked. The rounds end when every pair in doubt has been verified or joins rows that are linked by others.
+    Masks are sampled so that a pair at the threshold is met with probability `recall`, nearer ones oftener. Equal fingerprints are one node.
     """
     prints = saved(fingerprints(docs, id_col, text_col, shingle, n_words).where("id is not null"))
     names = [f"w{k}" for k in range(n_words)]
@@ -425,24 +485,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sure, wide = (math.floor(bits * (middle + k * error)) for k in (-3, 3))
     masks = sampled_masks(reps.count(), n_words, middle, recall)
     classes = reps.withColumn("c", F.col("id"))
-    links = only = None
+    links = only = refuted = None
+    per = 1
     while True:
 
-        def work(batches: Iterable[pa.RecordBatch], asked: int = asked) -> Iterator[pa.RecordBatch]:
-            return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, sure, wide, asked))
+        def work(batches: Iterable[pa.RecordBatch], asked: int = asked, per: int = per) -> Iterator[pa.RecordBatch]:
+            return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, sure, wide, asked, per))
 
-        found = saved(_dealt(classes, masks, most, only).mapInArrow(work, "a long, b long, kind int"))
-        pairs = saved(found.where(F.col("kind") == ASK).select("a", "b").distinct())
+        found = saved(_dealt(classes, masks, most, only, refuted).mapInArrow(work, "a long, b long, kind int, " + CELL_TYPES))
+        pairs = found.where(F.col("kind") == ASK).select("a", "b", *CELL)
         now = found.where(F.col("kind") == SURE).select("a", "b")
-        if not pairs.isEmpty():
-            now = now.unionByName(verified(pairs, docs, id_col, text_col, shingle, similarity))
+        similar = pairs.select("a", "b") if pairs.isEmpty() else saved(verified(pairs, docs, id_col, text_col, shingle, similarity))
+        now = now.unionByName(similar)
         links = saved(now if links is None else now.unionByName(links))
         joined = connected_components(links)
         classes = saved(reps.join(joined, F.col("id") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "id").alias("c")))
-        only = saved(found.where(F.col("kind") == MORE).select(F.col("a").cast("int").alias("t"), F.col("b").alias("v")).distinct())
+        only = saved(found.where(F.col("kind") == MORE).select("t", "v").distinct())
         if only.isEmpty():
             return prints.join(classes.select(*names, F.col("c").alias("component_id")), names).select("id", "component_id")
-        asked *= 4
+        failed = pairs.join(similar, ["a", "b"], "left_anti").select("a", "b", *CELL)
+        refuted = saved((failed if refuted is None else failed.unionByName(refuted)).join(only, ["t", "v"], "left_semi"))
+        asked, per = 4 * asked, 4 * per
 
 
 def kept_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98) -> DataFrame:

@@ -279,6 +279,19 @@ def test_similarity_is_exact_near_the_threshold(spark, asked, most):
     assert out == expected
 
 
+def test_a_pair_behind_refuted_nearer_ones_is_found(spark):
+    texts = []
+    for seed in (4, 37, 91, 108, 120, 131, 141, 152, 168, 182, 188, 250, 267, 271, 281, 298, 304, 322, 323, 332, 352, 357, 367, 371, 394, 397):
+        own = [f"q{seed}w{i}" for i in range(200)]
+        other = [f"c{seed}x{w[w.index('w') + 1 :]}" if k in (40, 80, 120, 160, 199) else w for k, w in enumerate(own)]
+        texts += [" ".join(t) for t in (own, [f"r{seed}x0", *own[1:]], other, [other[0], f"d{seed}x1", *other[2:]])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert all(alike(k, k + 2) and not alike(k, k + 3) and not alike(k + 1, k + 2) for k in range(0, len(texts), 4))
+    out = {r["id"]: r["component_id"] for r in simhash.similar_components(docs_of(spark, texts)).collect()}
+    assert out == {i: i // 4 * 4 for i in range(len(texts))}
+
+
 # ---- op5
 
 
