@@ -63,15 +63,16 @@ def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, n_words: int = 1) -> DataFrame:
-    """(id, w0, w1 ...): the fingerprint's 64-bit words of each row's whole text, as signed longs.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, n_words: int = 1, distinct: bool = False) -> DataFrame:
+    """(id, w0, w1 ...): the fingerprint's 64-bit words of each row's whole text, as signed longs; of its distinct shingles if so asked.
 
     A null, empty or blank text has no words and fingerprint zero. A null id stays null. Repeated rows stay.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches, "text"):
-            found = np.array([fingerprint(shingle_hashes(t, shingle), n_words) for t in texts], np.uint64).reshape(len(texts), n_words)
+            hashes = (shingle_hashes(t, shingle) for t in texts)
+            found = np.array([fingerprint(np.unique(h) if distinct else h, n_words) for h in hashes], np.uint64).reshape(len(texts), n_words)
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(found[:, k].view(np.int64)) for k in range(n_words))], ["id", *names])
 
     names = [f"w{k}" for k in range(n_words)]
@@ -234,8 +235,8 @@ def _links_within(table: pa.Table, keys: list[str], names: list[str], radius: in
     return pa.table({"a": pa.array(ids[moved]), "b": pa.array(ids[label[moved]])})
 
 
-SURE, ASK, MORE = 0, 1, 2
-#: Pairs in doubt that are held before they are thinned to the nearest of each two classes.
+ASK, MORE = 0, 1
+#: Pairs within the radius that are held before they are thinned to the nearest of each two classes.
 HELD_PAIRS = 200_000
 
 
@@ -262,9 +263,8 @@ def _nearest(pairs: list[tuple[np.ndarray, ...]], most: int, per: int) -> tuple[
     return tuple(z[keep] for z in (p, q, d, a, b)), a[~keep]
 
 
-def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: list[tuple[int, int]], sure: int, wide: int, most: int, per: int, small: int = 48) -> pa.Table:
-    """For rows sorted by top node, with classes c so far: SURE edges, which span what links of at most `sure` bits connect; ASK pairs of up
-    to `wide` bits with their cell, the `per` nearest of each class and each of the `most` nearest other classes; and MORE with the
+def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: list[tuple[int, int]], wide: int, most: int, per: int, small: int = 48) -> pa.Table:
+    """For rows sorted by top node, with classes c so far: ASK pairs of up to `wide` bits with their cell, the `per` nearest of each class and each of the `most` nearest other classes; and MORE with the
     top nodes (t, v) of cells where pairs were left out. Rows with `no` name pairs (id, no) that were refuted before.
 
     A pair is asked in the first table in which it meets. Pairs of large cells are thinned as they are found."""
@@ -288,15 +288,6 @@ def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: li
     cell = np.repeat(np.arange(len(begin)), end - begin)
     _, first, same = np.unique(np.stack([cell, classes], axis=1), axis=0, return_index=True, return_inverse=True)
     label = first[same.ravel()]  # rows of one class in a cell are one from the start
-    x, y = _small_cell_pairs(words, begin, end, sure, small)
-    label = lowest_labels(n, np.concatenate([x, np.arange(n)]), np.concatenate([y, label]))
-    for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
-        own = label[s:e] - s
-        for x, y in near_pairs(words[s:e], sure):
-            fresh = own[x] != own[y]
-            if fresh.any():
-                own = own[lowest_labels(e - s, own[x[fresh]], own[y[fresh]])]
-        label[s:e] = own + s
     held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 5]
     weight, bound = 0, HELD_PAIRS
     left_out = np.zeros(len(begin), bool)
@@ -334,11 +325,11 @@ def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: li
                 take(x[k : k + 65_536] + s, y[k : k + 65_536] + s)
     thin()
     _, _, _, x, y = held[0]
-    moved, more = np.nonzero(label != np.arange(n))[0], begin[left_out]
-    at = np.concatenate([moved, x, more])
-    a = np.concatenate([ids[moved], np.minimum(ids[x], ids[y]), ids[more]])
-    b = np.concatenate([ids[label[moved]], np.maximum(ids[x], ids[y]), ids[more]])
-    kind = np.repeat(np.array([SURE, ASK, MORE], np.int32), [len(moved), len(x), len(more)])
+    more = begin[left_out]
+    at = np.concatenate([x, more])
+    a = np.concatenate([np.minimum(ids[x], ids[y]), ids[more]])
+    b = np.concatenate([np.maximum(ids[x], ids[y]), ids[more]])
+    kind = np.repeat(np.array([ASK, MORE], np.int32), [len(x), len(more)])
     return pa.table([pa.array(a), pa.array(b), pa.array(kind), *(table.column(k).take(pa.array(at)) for k in CELL)], schema=GRADED)
 
 
@@ -469,20 +460,20 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98, asked: int = 2, most: int = 1024) -> DataFrame:
     """(id, component_id) of rows with ids that are not null, over links of at least this Jaccard similarity of runs of words.
 
-    The fingerprints' distance estimates the similarity, with a standard error that 64 * n_words bits make small. Pairs
-    more than three errors nearer than the threshold are links; those within three errors of it are verified on the
-    texts' own shingles; those beyond are none. A class first asks about its nearest pair with each of the `asked` nearest other classes;
+    The distance of the fingerprints of distinct shingles estimates the similarity, with a standard error that 64 * n_words bits make small.
+    Pairs up to three errors beyond the threshold are candidates, nearest first, and links only if the texts' own shingles say so; those
+    beyond are none. A class first asks about its nearest pair with each of the `asked` nearest other classes;
     top nodes where pairs were left out are searched again, with the classes found so far joined, the refuted pairs set aside and four times as
-    many classes, and pairs of each two, asked. The rounds end when every pair in doubt has been verified or joins rows that are linked by others.
+    many classes, and pairs of each two, asked. The rounds end when every candidate has been verified or joins rows that are linked by others.
     Masks are sampled so that a pair at the threshold is met with probability `recall`, nearer ones oftener. Equal fingerprints are one node.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, shingle, n_words).where("id is not null"))
+    prints = saved(fingerprints(docs, id_col, text_col, shingle, n_words, distinct=True).where("id is not null"))
     names = [f"w{k}" for k in range(n_words)]
     reps = saved(prints.groupBy(*names).agg(F.min("id").alias("id")))
     bits = 64 * n_words
     middle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     error = math.sqrt(middle * (1 - middle) / bits)
-    sure, wide = (math.floor(bits * (middle + k * error)) for k in (-3, 3))
+    wide = math.floor(bits * (middle + 3 * error))
     masks = sampled_masks(reps.count(), n_words, middle, recall)
     classes = reps.withColumn("c", F.col("id"))
     links = only = refuted = None
@@ -490,14 +481,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     while True:
 
         def work(batches: Iterable[pa.RecordBatch], asked: int = asked, per: int = per) -> Iterator[pa.RecordBatch]:
-            return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, sure, wide, asked, per))
+            return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, wide, asked, per))
 
         found = saved(_dealt(classes, masks, most, only, refuted).mapInArrow(work, "a long, b long, kind int, " + CELL_TYPES))
         pairs = found.where(F.col("kind") == ASK).select("a", "b", *CELL)
-        now = found.where(F.col("kind") == SURE).select("a", "b")
         similar = pairs.select("a", "b") if pairs.isEmpty() else saved(verified(pairs, docs, id_col, text_col, shingle, similarity))
-        now = now.unionByName(similar)
-        links = saved(now if links is None else now.unionByName(links))
+        links = saved(similar if links is None else similar.unionByName(links))
         joined = connected_components(links)
         classes = saved(reps.join(joined, F.col("id") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "id").alias("c")))
         only = saved(found.where(F.col("kind") == MORE).select("t", "v").distinct())

@@ -292,6 +292,14 @@ def test_a_pair_behind_refuted_nearer_ones_is_found(spark):
     assert out == {i: i // 4 * 4 for i in range(len(texts))}
 
 
+def test_a_repeated_sentence_makes_no_near_copies(spark):
+    rng = random.Random(20)
+    sentence = " ".join(f"same{i}" for i in range(10))
+    texts = [" ".join([*[sentence] * 20, *(f"w{rng.randrange(10**6)}" for _ in range(200))]) for _ in range(6)]
+    texts += [f"{texts[0]} {sentence}", " ".join([sentence, *texts[1].split()])]
+    assert {r["doc_id"] for r in simhash.kept_one_of_each(docs_of(spark, texts)).collect()} == set(range(6))
+
+
 # ---- op5
 
 
