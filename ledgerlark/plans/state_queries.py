@@ -147,7 +147,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORD
 SELECT m.mention_id, mention, ticker, title, CAST(tier AS INTEGER) AS tier FROM m LEFT JOIN best USING (mention_id)""")
 def resolve_company(spark, sf_dir):
     part, sup = fx.table(spark, sf_dir, "part"), fx.table(spark, sf_dir, "supplier")
-    reg = part.where("p_partkey <= 2000").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ticker"), F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"))
+    reg = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ticker"), F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"))
     k = F.col("s_suppkey")
     said = F.when(k % 4 == 0, F.concat(F.lit("p"), k.cast("string"))).when(k % 4 == 1, F.substring_index("p_name", " ", 1)).otherwise(F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))))
     return routing.resolved(sup.join(part, sup.s_suppkey == part.p_partkey).select(k.alias("mention_id"), said.alias("mention")), reg)

@@ -52,3 +52,10 @@ def test_query(spark, con, name):
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_companies_beyond_the_first_parts_are_resolved(spark, tmp_path):
+    spark.createDataFrame([(1, "some other thing"), (2000, "one more"), (2004, "late blue title"), (2005, "green")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(2004,), (2005,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = QUERIES["resolve_company"](spark, str(tmp_path)).collect()
+    assert {r["mention_id"]: (r["ticker"], r["tier"]) for r in found} == {2004: ("P2004", 1), 2005: ("P2005", 2)}
