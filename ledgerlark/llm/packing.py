@@ -149,14 +149,28 @@ class Packer:
         return out
 
 
+COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group"]
+
+
+def dealt(windows: list[list], groups: int) -> list[tuple[list, int]]:
+    """Each window with its group: from the most pieces to the fewest, to and fro over the groups."""
+    out = []
+    for i, window in enumerate(sorted(windows, key=len, reverse=True)):
+        turn, at = divmod(i, groups)
+        out.append((window, groups - 1 - at if turn % 2 else at))
+    return out
+
+
 def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """Rows (doc_id, start, length, ids, doc_tokens, sequence_id, offset, sequence_length, step_group) of each piece.
 
     A document's ids are the vocabulary's and then 0; ids has those of the piece as little-endian unsigned 32-bit
     integers. Each partition packs its own rows without a shuffle, and a lost task packs the same rows again, so that
     sequence_id (the partition in the high bits) is the same. Sequences of one length fill step groups of equal
-    token numbers, dealt so that groups get equally many pieces. A null or empty text is the one id 0; a very long
-    text is cut into whole windows; repeated rows and null ids are packed as they are; an empty table gives no rows.
+    token numbers (STEP_TOKENS): those of a slice are dealt to its groups to and fro, from the most pieces to the fewest, so that
+    groups differ by less than one sequence's pieces; sequences that fill no group go with the next slice's, and the last of a partition and length
+    are a smaller group. A null or empty text is the one id 0; a very long text is cut into whole windows; repeated rows and null ids are packed as
+    they are, ids of any type; an empty table gives no rows; other columns are not read.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,28 +178,31 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         part = TaskContext.get().partitionId()
         ids: dict[int, np.ndarray] = {}
         names: dict[int, object] = {}
-        made = 0
-        by_length: dict[int, int] = {}
-        number = 0
+        made = number = 0
+        held: dict[int, list[list[tuple]]] = {}  # by length: sequences, as the rows of their pieces, that no step group has yet
+        groups: dict[int, int] = {}
+        kind = pa.int64()
 
-        def rows(windows: list[list[Piece]]) -> pa.RecordBatch:
+        def rows(windows: list[list[Piece]], end: bool = False) -> pa.RecordBatch:
             nonlocal made
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")}
-            windows = sorted(windows, key=len)  # neighbours have equally many pieces; groups take every k-th
+            out: list[tuple] = []
             for window in windows:
-                size = sum(p[2] for p in window)
-                turn, offset = by_length.get(size, 0), 0
-                by_length[size] = turn + 1
-                for doc, start, length in window:
-                    own = ids[doc]
-                    for k, v in zip(out, (names[doc], start, length, own[start : start + length].astype("<u4").tobytes(), len(own), part << SEQUENCE_BITS | made, offset, size, f"{part}-{size}-{turn // max(1, STEP_TOKENS // size)}"), strict=True):
-                        out[k].append(v)
-                    offset += length
-                made += 1
-            kinds = {"doc_id": kind, "ids": pa.binary(), "step_group": pa.string()}
-            return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
+                own = [(names[doc], start, length, ids[doc][start : start + length].astype("<u4").tobytes(), len(ids[doc])) for doc, start, length in window]
+                held.setdefault(sum(p[2] for p in window), []).append(own)
+            for size, own in sorted(held.items()):
+                per, first = max(1, STEP_TOKENS // size), groups.get(size, 0)
+                full = len(own) // per
+                for window, turn in [*dealt(own[: full * per], full), *((w, full) for w in own[full * per :] if end)]:
+                    offset = 0
+                    for name, start, length, piece, total in window:
+                        out.append((name, start, length, piece, total, part << SEQUENCE_BITS | made, offset, size, f"{part}-{size}-{first + turn}"))
+                        offset += length
+                    made += 1
+                held[size], groups[size] = own[full * per :], first + full
+            kinds = (kind, *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 4, pa.string())
+            columns = zip(*out, strict=True) if out else ((),) * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], COLUMNS)
 
-        kind = pa.int64()
         for own, texts in text_batches(batches, "text", SLICE):
             kind = own.column("id").type
             windows = []
@@ -194,9 +211,10 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 windows += packer.route((number, 0, len(ids[number])))
                 number += 1
             yield rows(windows + packer.pack())
-            held = {doc for t in packer.tiers for _, doc, _ in packer.waiting[t]}
-            ids, names = {k: ids[k] for k in held}, {k: names[k] for k in held}
-        yield rows(packer.finish())
+            waiting = {doc for t in packer.tiers for _, doc, _ in packer.waiting[t]}
+            ids, names = {k: ids[k] for k in waiting}, {k: names[k] for k in waiting}
+        if number:
+            yield rows(packer.finish(), end=True)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group string"
