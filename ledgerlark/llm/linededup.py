@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlark.llm.common import WORD_SPACE, saved, text_batches
+from ledgerlark.llm.common import WORD_SPACE, dropped, free_name, saved, text_batches
 
 STRIP = WORD_SPACE.encode()
 SHARD_KEYS = 32_768
@@ -159,8 +159,9 @@ def without_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int
     A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends, with A-Z in lower case; keys of fewer
     than `least` code points never count. The other lines stay as they are, joined by \\n. A null text becomes
     the empty text (one empty line); texts that lose all their lines become empty; a row counts as a document,
-    repeated rows included; an empty table gives no rows. Columns and their order stay; stats names two more
-    columns, lines before and lines dropped.
+    repeated rows included (with copies=False rows of equal texts are one document); an empty table gives no rows; texts of any length are read whole.
+    Columns and their order stay, whatever their names; stats names two more columns, lines before and lines dropped, each with an underscore before it
+    where docs has one of that name.
     The arrays reach the documents in as many passes as keep each broadcast under broadcast_bytes; only more than
     one pass writes the texts between.
     """
@@ -175,16 +176,17 @@ def without_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int
         groups[-1].append(k)
         room += sizes[k]
     names = docs.columns
+    stats = tuple(free_name(names, s) for s in stats or ())
     at = names.index(text_col)
     typed = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names))
-    flag = "_dropped_lines"
+    flag = free_name(names, "dropped_lines")
     rows = typed.withColumn(flag, F.lit(None).cast("binary"))
     context = docs.sparkSession.sparkContext
     for k, group in enumerate(groups):
         own = [r["blob"] for r in blobs.where(F.col("shard").between(group[0], group[-1])).orderBy("shard").collect()] if group else []
         sent = context.broadcast((group[0] if group else 0, shards, own))
         last = k == len(groups) - 1
-        extra = list(stats or ()) if last else [flag]
+        extra = list(stats) if last else [flag]
         schema = T.StructType([*typed.schema.fields, *(T.StructField(c, T.BinaryType() if c == flag else T.LongType()) for c in extra)])
 
         def work(batches: Iterable[pa.RecordBatch], sent=sent, last=last, extra=extra) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def without_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int
                 flags = part.column(part.num_columns - 1).to_pylist()
                 split = [line_hashes(t, least) for t in texts]
                 every = np.concatenate([h for _, h, _ in split]) if split else np.empty(0, np.uint64)
-                found = index.count(every) > 0 if index else np.zeros(len(every), bool)
+                found = index.count(every) >= min_docs if index else np.zeros(len(every), bool)
                 kept, total, gone, marks, i = [], [], [], [], 0
                 for (lines, _, ok), before in zip(split, flags, strict=True):
                     drop = found[i : i + len(lines)] & ok
@@ -215,7 +217,9 @@ def without_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int
                     columns.append(pa.array(marks, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], *extra])
 
-        rows = rows.mapInArrow(work, schema)
+        done, rows = rows, rows.mapInArrow(work, schema)
         if not last:
             rows = saved(rows)
+            if k:
+                dropped(done)
     return rows
