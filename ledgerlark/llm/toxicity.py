@@ -1,8 +1,9 @@
 """Toxicity: a logistic classifier of words and word beginnings, regularised by counterfactual identity terms.
 
 In labelled sentences each identity term is swapped for the others of its group; the fit adds a penalty on the square
-of the score's (log odds) change. The score is a sum over a text's features, so that a swap changes it by the difference
-of the two terms' features: sentences only need to be counted by the pair of terms.
+of the score's (log odds) change. The score is a sum over a text's features, so that a swap changes it by what the two terms'
+features change: sentences only need to be counted by the two terms and how often each stands there. Other words of the sentence that
+begin like one of the two are left out of that change.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import saved, text_batches
+from ledgerlark.llm.common import free_name, saved, text_batches
 
 #: Bounds of the fit: labelled rows of the sample, and features of the model.
 TRAIN_ROWS = 12_000
@@ -27,7 +28,7 @@ LEAST_Z = 2.5
 PREFIXES = (5, 7)
 CACHED = 200_000
 
-#: Groups of identity terms that may stand for one another.
+#: Groups of identity terms of English, German, French and Spanish that may stand for one another.
 IDENTITY = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("female", "male", "transgender", "nonbinary"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -35,6 +36,15 @@ IDENTITY = (
     ("immigrant", "refugee", "foreigner", "native"), ("immigrants", "refugees", "foreigners", "natives"),
     ("african", "american", "european", "mexican", "chinese", "indian", "turkish", "russian"),
     ("disabled", "blind", "deaf", "autistic"), ("old", "young", "elderly", "teenage"),
+    ("frauen", "männer", "mädchen", "jungen"), ("frau", "mann", "mädchen", "junge"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber"), ("schwule", "lesben", "bisexuelle", "queere"), ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("türken", "russen", "polen", "franzosen", "afrikaner", "amerikaner"), ("behinderte", "blinde", "gehörlose", "autisten"),
+    ("femmes", "hommes", "filles", "garçons"), ("femme", "homme", "fille", "garçon"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"), ("gays", "lesbiennes", "bisexuels", "hétéros"), ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("africains", "américains", "européens", "mexicains", "chinois", "indiens", "turcs", "russes"), ("handicapés", "aveugles", "sourds", "autistes"),
+    ("mujeres", "hombres", "niñas", "niños"), ("mujer", "hombre", "niña", "niño"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes"), ("gais", "lesbianas", "bisexuales", "heteros"), ("inmigrantes", "refugiados", "extranjeros", "migrantes"),
+    ("africanos", "americanos", "europeos", "mexicanos", "chinos", "indios", "turcos", "rusos"), ("discapacitados", "ciegos", "sordos", "autistas"),
 )
 
 WORD = regex.compile(r"\w+")
@@ -77,23 +87,41 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def swaps(text: str | None, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> dict[tuple[str, str], int]:
-    """For each pair of terms of a group, in how many sentences one of them stands and may be swapped for the other."""
-    of = {t: g for g in groups for t in g}
-    out: dict[tuple[str, str], int] = {}
+def swaps(text: str | None, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> dict[tuple, int]:
+    """In how many sentences a term of a group stands and may be swapped for another, by what the swap changes.
+
+    (a, b): one of the two stands there once and becomes the other. (a, b, m, n): a stands there m times, b n times, and a becomes b.
+    """
+    of: dict[str, list[str]] = {}
+    for g in groups:
+        for t in g:
+            of.setdefault(t, []).extend(o for o in g if o != t)
+    out: dict[tuple, int] = {}
     low = (text or "").lower()
     if not any(t in low for t in of):
         return out
     for sentence in SENTENCE.findall(low):
-        for w in set(WORD.findall(sentence)) & of.keys():
-            for other in of[w]:
-                if other != w:
-                    pair = (min(w, other), max(w, other))
-                    out[pair] = out.get(pair, 0) + 1
+        words = WORD.findall(sentence)
+        for w in sorted(set(words) & of.keys()):
+            for other in dict.fromkeys(of[w]):
+                m, n = words.count(w), words.count(other)
+                change = (min(w, other), max(w, other)) if (m, n) == (1, 0) else (w, other, m, n)
+                out[change] = out.get(change, 0) + 1
+    return out
+
+
+def swap_change(a: str, b: str, m: int = 1, n: int = 0) -> dict[str, float]:
+    """How much each feature of the two terms is less after a, standing m times, becomes b, standing n times before."""
+    own, other = set(word_features(a)), set(word_features(b))
+    out = {}
+    for f in sorted(own | other):
+        before, after = m * (f in own) + n * (f in other), (m + n) * (f in other)
+        if before != after:
+            out[f] = float(np.log2(1 + before) - np.log2(1 + after))
     return out
 
 
-def fit(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, names: list[str], pairs: dict[tuple[str, str], int], penalty: float = 1.0, ridge: float = 1e-4, steps: int = 400) -> Model:
+def fit(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, names: list[str], pairs: dict[tuple, int], penalty: float = 1.0, ridge: float = 1e-4, steps: int = 400) -> Model:
     """Minimise log loss + ridge * |w|^2 + penalty * mean over swapped sentences of the squared change, by Adam."""
     n, k = len(rows), len(names)
     at = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -101,14 +129,11 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, na
     x = np.concatenate(values) if n else np.empty(0)
     place = {f: i for i, f in enumerate(names)}
     swap_rows, swap_weight = [], []
-    for (a, b), many in sorted(pairs.items()):
+    for swap, many in sorted(pairs.items()):
         change = np.zeros(k)
-        for f in word_features(a):
-            if f in place:
-                change[place[f]] += 1
-        for f in word_features(b):
+        for f, by in swap_change(*swap).items():
             if f in place:
-                change[place[f]] -= 1
+                change[place[f]] = by
         if change.any():
             swap_rows.append(change)
             swap_weight.append(many)
@@ -160,7 +185,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in text_batches(batches, "text"):
-            col, val, first, second, many = [], [], [], [], []
+            col, val, swapped = [], [], []
             for text in rows:
                 own: dict[int, int] = {}
                 for w, n in counted(text).items():
@@ -169,30 +194,31 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                             own[place[f]] = own.get(place[f], 0) + n
                 col.append(list(own))
                 val.append(list(own.values()))
-                pairs = swaps(text, groups)
-                first.append([a for a, _ in pairs])
-                second.append([b for _, b in pairs])
-                many.append(list(pairs.values()))
-            text_list, int_list = pa.list_(pa.string()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(col, int_list), pa.array(val, int_list), pa.array(first, text_list), pa.array(second, text_list), pa.array(many, int_list)], ["y", "col", "val", "a", "b", "n"])
-
-    rows = sample.mapInArrow(rows_of, "y int, col array<int>, val array<int>, a array<string>, b array<string>, n array<int>").toArrow()
-    pairs: dict[tuple[str, str], int] = {}
-    for a, b, n in zip(*(rows.column(k).to_pylist() for k in ("a", "b", "n")), strict=True):
-        for key in zip(a, b, n, strict=True):
-            pairs[key[:2]] = pairs.get(key[:2], 0) + key[2]
+                found = [{"a": s[0], "b": s[1], "m": s[2] if s[2:] else 1, "n": s[3] if s[2:] else 0, "many": c} for s, c in swaps(text, groups).items()]
+                swapped.append(found)
+            int_list = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(col, int_list), pa.array(val, int_list), pa.array(swapped, swap_list)], ["y", "col", "val", "swaps"])
+
+    swap_list = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("m", pa.int32()), ("n", pa.int32()), ("many", pa.int32())]))
+    rows = sample.mapInArrow(rows_of, "y int, col array<int>, val array<int>, swaps array<struct<a string, b string, m int, n int, many int>>").toArrow()
+    pairs: dict[tuple, int] = {}
+    for own in rows.column("swaps").to_pylist():
+        for s in own:
+            key = (s["a"], s["b"], s["m"], s["n"])
+            pairs[key] = pairs.get(key, 0) + s["many"]
     col = [np.array(c, np.int64) for c in rows.column("col").to_pylist()]
     val = [np.log2(1 + np.array(v, float)) for v in rows.column("val").to_pylist()]
     return fit(col, val, rows.column("y").to_numpy().astype(float), names, pairs, penalty)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a column of scores of their whole texts; columns stay as they are.
+    """docs with a last column of scores of their whole texts; columns stay as they are.
 
-    A null, empty or wordless text has the bias's score. Nothing but the text is read for it.
+    Where docs has a column of that name, the new one's gets an underscore before it. A null, empty or wordless text has the bias's score; texts of
+    any length are read whole; repeated rows get equal scores; an empty table gives no rows. Nothing but the text is read for a score.
     """
     weight, bias = model.weight, model.bias
-    out = docs.withColumn(name, F.lit(0.0))
+    out = docs.select("*", F.lit(0.0).alias(free_name(docs.columns, name)))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weight, bias)
