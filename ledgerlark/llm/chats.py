@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import WORD_SPACE, saved
+from ledgerlark.llm.common import WORD_SPACE, integer_id, saved
 
 MARKS = r"^[ \t]*>[> \t]*"
 #: Turns of a block: a conversation of any length is ordered in windows of this many.
@@ -48,18 +48,20 @@ def _keys(body: Column) -> Column:
 
 
 def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text, n_quotes, max_level, n_linked, reply_to_conv, reply_to_turn, linked_by, reply_order) of each message.
+    """(conv_id, turn, role, text, n_quotes, max_level, n_linked, reply_to_conv, reply_to_turn, linked_by, reply_position) of each message.
 
     text has the message's own lines only. The reply is to the original of a quoted passage ('quote'): of those that have one,
     of the least quote level, whole passages before lines, the first; else to the turn before in the conversation ('order'), else to none. Originals are earlier turns
-    of the same conversation or, failing that, the first message anywhere with that passage (the least conversation, then turn);
-    a message is never its own original. reply_order sorts a conversation so that answers stand, in the order of
-    their turns, beneath the messages they answer, in levels; ordered() deals rows out so.
-    A null text is an empty message. A null conversation or turn links nothing and has no reply. Messages that
+    of the same conversation or, failing that, the first message of another one with that passage (the least conversation, then turn);
+    a message is never its own original. reply_position numbers a conversation's messages from 0 without a gap in the order of the
+    turns they answer and then of their own: a message comes after the one it answers and beside the others that answer it; what answers
+    nothing in the conversation comes first; of one turn the order is that of the other columns.
+    A null text is an empty message. A null conversation or turn links nothing and has neither reply nor position. Messages that
     repeat a turn keep a row each and share their turn's predecessor. A common passage is one row of originals, so
-    that it never multiplies rows; conversations are ordered in blocks of turns. An empty table gives no rows.
+    that it never multiplies rows; conversations are ordered in blocks of turns. Very long messages are read whole. An empty table gives no
+    rows; other columns are not read.
     """
-    rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("body"))
+    rows = messages.select(integer_id(messages, conv_col).alias("conv_id"), integer_id(messages, turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("body"))
     split = rows.withColumn("runs", passages(F.col("body")))
     quoted = F.filter("runs", lambda r: r["level"] > 0)
     message = F.xxhash64("conv_id", "turn", "role", "body").alias("message")
@@ -76,11 +78,13 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         wrote = placed.select("conv_id", "turn", F.explode(_keys(F.col("text"))).alias("h"))
         wrote = wrote.join(asks.select("h").distinct(), "h", "left_semi")
         here = wrote.groupBy("conv_id", "h").agg(F.min("turn").alias("here_turn"))
-        first = here.groupBy("h").agg(F.min(F.struct("conv_id", "here_turn")).alias("any"))
+        # the first two conversations of a passage: one of them is another than the asking one (a limit of each task's rows comes before the shuffle)
+        leading = here.withColumn("place", F.row_number().over(W.partitionBy("h").orderBy("conv_id"))).where("place <= 2")
+        original = F.struct("conv_id", F.col("here_turn").alias("turn"))
+        first = leading.groupBy("h").agg(F.min(F.when(F.col("place") == 1, original)).alias("one"), F.min(F.when(F.col("place") == 2, original)).alias("two"))
         met = asks.join(here, ["conv_id", "h"], "left").join(first, "h", "left")
         own = F.col("here_turn") < F.col("turn")
-        elsewhere = (F.col("any.conv_id") != F.col("conv_id")) & F.col("here_turn").isNull()
-        met = met.withColumn("to", F.when(own, F.struct("conv_id", F.col("here_turn").alias("turn"))).when(elsewhere, F.struct(F.col("any.conv_id").alias("conv_id"), F.col("any.here_turn").alias("turn"))))
+        met = met.withColumn("to", F.when(own, F.struct("conv_id", F.col("here_turn").alias("turn"))).when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two")))
         met = met.where("to is not null").groupBy("conv_id", "turn", "message")
         replies = met.agg(F.count_distinct("q").alias("n_linked"), F.min(F.struct("level", F.when(F.col("part") > 0, 1).otherwise(0).alias("by_line"), "q", "part", "to"))["to"].alias("to"))
     before = _turn_before(placed.select("conv_id", "turn").distinct())
@@ -94,8 +98,30 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         "conv_id", "turn", "role", "text", F.size("quotes").cast("long").alias("n_quotes"), F.col("max_level").cast("long").alias("max_level"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce("to.conv_id", F.when(F.col("prev").isNotNull(), F.col("conv_id"))).alias("reply_to_conv"), F.coalesce("to.turn", "prev").alias("reply_to_turn"), by.alias("linked_by"),
     )
+    return _positioned(out)
+
+
+def _positioned(rows: DataFrame) -> DataFrame:
+    """Linked messages with reply_position.
+
+    No window holds a whole conversation: rows are numbered within a parent's block of turns, and the sums of the rows before come from windows
+    over the blocks, those of a block of parents first, then over blocks of parents.
+    """
+    names, cell = rows.columns, ["conv_id", "parents", "parent", "block"]
     parent = F.when(F.col("reply_to_conv") == F.col("conv_id"), F.col("reply_to_turn"))
-    return out.withColumn("reply_order", F.struct(parent.alias("parent"), F.col("turn").alias("turn")))
+    rows = rows.withColumn("parent", parent).withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("parents", F.floor(F.col("parent") / BLOCK))
+    rows = saved(rows)
+    before = lambda by, order: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = rows.where("conv_id is not null and turn is not null").groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    blocks = cells.groupBy("conv_id", "parents").agg(F.sum("n").alias("n"))
+    blocks = blocks.select(F.col("conv_id").alias("b_conv"), F.col("parents").alias("b_parents"), before(["conv_id"], ["parents"]).alias("b_before"))
+    cells = cells.withColumn("c_before", before(["conv_id", "parents"], ["parent", "block"]))
+    cells = cells.join(blocks, (F.col("conv_id") == F.col("b_conv")) & F.col("parents").eqNullSafe(F.col("b_parents")))
+    cells = cells.select(F.col("conv_id").alias("c_conv"), F.col("parents").alias("c_parents"), F.col("parent").alias("c_parent"), F.col("block").alias("c_block"), (F.col("b_before") + F.col("c_before")).alias("c_before"))
+    own = F.row_number().over(W.partitionBy(*cell).orderBy("turn", "role", F.sha2(F.encode("text", "UTF-8"), 256), *[c for c in names if c not in ("conv_id", "turn", "role", "text")])) - 1
+    placed = rows.withColumn("own", own)
+    same = (F.col("conv_id") == F.col("c_conv")) & F.col("block").eqNullSafe(F.col("c_block")) & F.col("parent").eqNullSafe(F.col("c_parent"))
+    return placed.join(cells, same, "left").select(*names, F.when(F.col("turn").isNotNull(), F.col("c_before") + F.col("own")).cast("long").alias("reply_position"))
 
 
 def _turn_before(turns: DataFrame) -> DataFrame:
@@ -112,5 +138,5 @@ def _turn_before(turns: DataFrame) -> DataFrame:
 
 
 def ordered(rows: DataFrame) -> DataFrame:
-    """Linked messages dealt out and sorted by conversation and reply order, without gathering a conversation."""
-    return rows.repartitionByRange("conv_id", "reply_order").sortWithinPartitions("conv_id", "reply_order")
+    """Linked messages dealt out and sorted by conversation and reply position, without gathering a conversation."""
+    return rows.repartitionByRange("conv_id", "reply_position").sortWithinPartitions("conv_id", "reply_position")

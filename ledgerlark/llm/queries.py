@@ -162,8 +162,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages without quotes, in the order of replies."""
-    found = chats.ordered(chats.linked(_table(spark, sf_dir, "conversations")))
-    return found.select("conv_id", "turn", "role", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "n_quotes", "max_level", "n_linked", "reply_to_conv", "reply_to_turn", "linked_by")
+    found = chats.linked(_table(spark, sf_dir, "conversations"))
+    digest = F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
+    return found.select("conv_id", "turn", "role", digest, "n_quotes", "max_level", "n_linked", "reply_to_conv", "reply_to_turn", "linked_by", "reply_position")
 
 
 ORACLES["op3_quotation_linking"] = r"""
@@ -189,16 +190,22 @@ keys AS (
   SELECT conv_id, turn, id, asks, q, level, part, lower(trim(regexp_replace(bit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS key FROM parts),
 used AS (SELECT * FROM keys WHERE key <> '' AND (part = 0 OR length(key) >= 20)),
 here AS (SELECT conv_id, key, min(turn) AS turn FROM used WHERE asks = 0 GROUP BY ALL),
-anywhere AS (SELECT key, min({'c': conv_id, 't': turn}) AS f FROM here GROUP BY key),
+anywhere AS (
+  SELECT key, min({'c': conv_id, 't': turn}) FILTER (WHERE place = 1) AS one, min({'c': conv_id, 't': turn}) FILTER (WHERE place = 2) AS two
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY conv_id) AS place FROM here WHERE conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY key),
 met AS (
-  SELECT u.id, u.q, u.level, u.part, CASE WHEN h.turn < u.turn THEN {'c': u.conv_id, 't': h.turn} WHEN h.turn IS NULL AND a.f.c <> u.conv_id THEN a.f END AS to_
+  SELECT u.id, u.q, u.level, u.part, CASE WHEN h.turn < u.turn THEN {'c': u.conv_id, 't': h.turn} WHEN a.one.c <> u.conv_id THEN a.one ELSE a.two END AS to_
   FROM used u LEFT JOIN here h ON h.conv_id = u.conv_id AND h.key = u.key LEFT JOIN anywhere a ON a.key = u.key WHERE u.asks = 1),
 best AS (SELECT id, count(DISTINCT q) AS n_linked, arg_min(to_, {'v': level, 'l': CASE WHEN part > 0 THEN 1 ELSE 0 END, 'q': q, 'p': part}) AS to_ FROM met WHERE to_ IS NOT NULL GROUP BY id),
-prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM msgs))
+prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM msgs)),
+found AS (
 SELECT m.conv_id, m.turn, m.role, sha256(p.own) AS text_sha256, p.n_quotes, p.max_level, coalesce(b.n_linked, 0) AS n_linked,
        coalesce(b.to_.c, CASE WHEN v.prev IS NOT NULL THEN m.conv_id END) AS reply_to_conv, coalesce(b.to_.t, v.prev) AS reply_to_turn,
        CASE WHEN b.to_ IS NOT NULL THEN 'quote' WHEN v.prev IS NOT NULL THEN 'order' END AS linked_by
-FROM msgs m JOIN plain p USING (id) LEFT JOIN best b USING (id) LEFT JOIN prev v ON v.conv_id = m.conv_id AND v.turn = m.turn
+FROM msgs m JOIN plain p USING (id) LEFT JOIN best b USING (id) LEFT JOIN prev v ON v.conv_id = m.conv_id AND v.turn = m.turn)
+SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (
+  PARTITION BY conv_id, turn IS NULL ORDER BY CASE WHEN reply_to_conv = conv_id THEN reply_to_turn END NULLS FIRST, turn, role NULLS FIRST, text_sha256, n_quotes, max_level, n_linked, reply_to_conv NULLS FIRST, reply_to_turn NULLS FIRST) - 1 END AS reply_position
+FROM found
 """
 
 
