@@ -17,6 +17,8 @@ HEAVY = 64
 RANGES = 2048
 ROWS_PER_RANGE = 1_000_000
 SAMPLES_PER_RANGE = 8
+#: Samples for each range's share of bytes at which overfull ranges are subdivided no further; they only take their task longer.
+DENSEST = 4096
 
 
 def _array(values: list[int]) -> Column:
@@ -47,7 +49,8 @@ def _cuts(rows: DataFrame, rate: float, width: float) -> list[tuple[int, int]]:
     """
     chance = F.col("size") * rate
     drawn = F.pmod(F.xxhash64("h", "k", F.lit(11)), F.lit(1 << 40)) / float(1 << 40) < chance
-    found = sorted((r["h"], r["k"], r["w"]) for r in rows.where(drawn).select("h", "k", F.greatest(F.col("size"), F.lit(1 / rate)).alias("w")).collect())
+    weight = F.sum(F.greatest(F.col("size"), F.lit(1 / rate)))  # rows of one key are drawn together and come as one
+    found = sorted((r["h"], r["k"], r["w"]) for r in rows.where(drawn).groupBy("h", "k").agg(weight.alias("w")).collect())
     out, so_far = [], 0.0
     for h, k, w in found:
         if math.floor((so_far + w) / width) > math.floor(so_far / width):
@@ -61,7 +64,7 @@ def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
 
     The key is the hash of the text and then of the id, so that equal texts lie together, and a hot text is cut
     between its copies. Size-weighted samples of the keys give the splitters of many narrow ranges; ranges that turn
-    out to hold over twice their share are sampled again, more densely, and subdivided. Each range then sorts its own
+    out to hold over twice their share are sampled more and more densely and subdivided. Each range then sorts its own
     rows, and the sums of the ranges before it tell where they fall among the shards' capacities. Records that are
     large beside a shard (bounded in number by the total size) go first, each to the smallest shard so far, so that
     shards differ by less than about 1/64 of their size. slot numbers the rows of a shard without a gap.
@@ -98,14 +101,17 @@ def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     ranges = max(ranges, math.ceil(n / ROWS_PER_RANGE))
     width = room / ranges
     cuts = _cuts(light, SAMPLES_PER_RANGE / width, width)
-    sums = {r["r"]: r["b"] for r in light.groupBy(_place(F.col("h"), F.col("k"), cuts).alias("r")).agg(F.sum("size").alias("b")).collect()}
-    full = [r for r, b in sums.items() if b > 2 * width]
-    if full:
-        crowded = light.where(F.array_contains(_array(sorted(full)), _place(F.col("h"), F.col("k"), cuts).cast("bigint")))
-        cuts = sorted({*cuts, *_cuts(crowded, 8 * SAMPLES_PER_RANGE / width, width)})
-    placed = light.withColumn("r", _place(F.col("h"), F.col("k"), cuts))
-    found = {r["r"]: (r["b"], r["n"]) for r in placed.groupBy("r").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
-    per = [found.get(r, (0, 0)) for r in range(len(cuts) + 1)]
+    density = SAMPLES_PER_RANGE
+    while True:
+        placed = light.withColumn("r", _place(F.col("h"), F.col("k"), cuts))
+        found = {r["r"]: (r["b"], r["n"], r["keys"]) for r in placed.groupBy("r").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), (F.min(F.struct("h", "k")) != F.max(F.struct("h", "k"))).alias("keys")).collect()}
+        full = [r for r, (b, _, several) in found.items() if b > 2 * width and several]
+        if not full or density >= DENSEST:
+            break
+        density *= 8
+        crowded = placed.where(F.array_contains(_array(sorted(full)), F.col("r").cast("bigint")))
+        cuts = sorted({*cuts, *_cuts(crowded, density / width, width)})
+    per = [found.get(r, (0, 0))[:2] for r in range(len(cuts) + 1)]
     bytes_before, rows_before = ([0, *accumulate(x[k] for x in per)] for k in (0, 1))
     own = W.partitionBy("r").orderBy(*order)
     middle = F.get(_array(bytes_before), "r") + F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
