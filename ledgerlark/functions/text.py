@@ -66,8 +66,8 @@ def truncated(c: str | Column, most: int, suffix: str = " …") -> Column:
 
 def without_noise(c: str | Column) -> Column:
     """A table's text with repeated neighbouring cells and trailing empty cells collapsed and, in tables of over three
-    lines, total rows moved up beneath the first two lines. Other lines stay as they are."""
-    cleaned = lambda x: F.when(F.contains(x, F.lit("|")) & ~F.contains(x, F.lit("---")), F.regexp_replace(F.regexp_replace(x, REPEAT, "$1"), TRAIL, "|")).otherwise(x)
+    lines, total rows moved up beneath the first two lines. Table lines lose white space at their end; other lines stay as they are."""
+    cleaned = lambda x: F.when(F.contains(x, F.lit("|")) & ~F.contains(x, F.lit("---")), F.regexp_replace(F.regexp_replace(F.regexp_replace(x, REPEAT, "$1"), r"\s+$", ""), TRAIL, "|")).otherwise(x)
     lines = F.transform(F.split(text_of(c), "\n"), cleaned)
 
     def arranged(own: Column) -> Column:

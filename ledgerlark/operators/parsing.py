@@ -201,54 +201,80 @@ def blocks(sections: DataFrame, body: str = "body") -> DataFrame:
     return rows.withColumn("block_type", F.when(F.col("text").rlike(r"^<<<TABLE_\d+>>>$"), "table").when((F.length("text") < 500) & F.col("text").rlike(X.FOOTNOTE), "footnote").otherwise("text"))
 
 
+#: Tags that a head may hold: any other ends it, closed or not.
+HEAD_TAGS = {"head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}
+
+
 class _Tables(HTMLParser):
-    """Rows of cells of each table, and the document's text with a mark where a table stood."""
+    """Rows of cells of each table, and the document's text with a mark where a table stood.
+
+    Tags that may stay open end where the next one begins: a head at the first tag that it can't hold, a cell at the next cell, row or end of
+    its table. A cell around another table keeps its own words."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tables: list[list[list[str]]] = []
         self.out: list[str] = []
-        self.open: list[int] = []
-        self.cell: list[str] | None = None
-        self.hidden = 0
+        self.open: list[tuple[int, list[str] | None]] = []  # tables that are open, each with the words of its open cell
+        self.hidden, self.head = 0, False
+
+    def _cell(self, words: list[str] | None = None) -> None:
+        """End the innermost table's open cell, and begin one with these words."""
+        at, own = self.open[-1]
+        if own is not None:
+            self.tables[at][-1][-1] = " ".join(" ".join(own).split())
+        self.open[-1] = at, words
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "head":
+            self.head = True
+        elif self.head and tag not in HEAD_TAGS:
+            self.head, self.hidden = False, 0
         if tag in SKIPPED:
-            self.hidden += 1
+            self.hidden += tag != "head"
         elif tag == "table":
             self.tables.append([])
-            self.open.append(len(self.tables) - 1)
+            self.open.append((len(self.tables) - 1, None))
             self.out.append(f"\n\x00{len(self.tables) - 1}\x00\n")
         elif tag == "tr" and self.open:
-            self.tables[self.open[-1]].append([])
+            self._cell()
+            self.tables[self.open[-1][0]].append([])
         elif tag in ("td", "th") and self.open:
-            if not self.tables[self.open[-1]]:
-                self.tables[self.open[-1]].append([])
-            self.cell = []
-            self.tables[self.open[-1]][-1].append("")
+            self._cell([])
+            rows = self.tables[self.open[-1][0]]
+            if not rows:
+                rows.append([])
+            rows[-1].append("")
         elif not self.open:
             self.out.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
+        if tag == "head":
+            self.head = False
+        elif tag in SKIPPED:
             self.hidden = max(0, self.hidden - 1)
-        elif tag in ("td", "th") and self.open and self.cell is not None:
-            self.tables[self.open[-1]][-1][-1] = " ".join(" ".join(self.cell).split())
-            self.cell = None
+        elif tag in ("td", "th", "tr") and self.open:
+            self._cell()
         elif tag == "table" and self.open:
+            self._cell()
             self.open.pop()
-            self.cell = None
         elif not self.open:
             self.out.append("\n")
 
     def handle_data(self, data: str) -> None:
-        if self.hidden:
+        if self.hidden or self.head:
             return
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.open and self.open[-1][1] is not None:
+            self.open[-1][1].append(data)
         elif not self.open:
             self.out.append(data)
 
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self._cell()
+            self.open.pop()
+
 
 def is_data_table(rows: list[list[str]]) -> bool:
     return len(rows) >= 2 and len(rows[0]) >= 2 and len(" ".join(c for r in rows for c in r).strip()) > 60

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,38 @@ def test_ingest_and_ask(spark, tmp_path):
     out = engine(spark, settings).ask(asked).first()
     assert out["route"] == "single" and any(c["section"] == "Consolidated Statements of Income" for c in out["citations"])
     assert Settings.load({"LEDGERLARK_FINAL_K": " 5 ", "LEDGERLARK_RAW_DIR": ""}).final_k == 5
+
+
+def test_tables_with_tags_that_stay_open():
+    cells = "<tr><th>Row<th>Net sales of the whole company<tr><td>2024<td>one hundred and more words in here<tr><td>2023<td>ninety and more words in here"
+    text, tables = parsing.parsed_tables(f"<html><head><title>Hidden<body><p>Before</p><table>{cells}</table><p>After")
+    assert "Hidden" not in text and "Before" in text and "After" in text and "<<<TABLE_0>>>" in text
+    assert tables[0][2] == [["Row", "Net sales of the whole company"], ["2024", "one hundred and more words in here"], ["2023", "ninety and more words in here"]]
+
+
+def test_words_around_a_nested_table_stay_in_their_cell():
+    inner = "<table><tr><td>a</td><td>b</td></tr></table>"
+    _, tables = parsing.parsed_tables(f"<table><tr><td>first words {inner} last words of the cell</td><td>one more cell of the outer table</td></tr><tr><td>second row</td><td>with its own words</td></tr></table>")
+    assert tables[0][2] == [["first words last words of the cell", "one more cell of the outer table"], ["second row", "with its own words"]]
+
+
+def test_dense_equals_a_loop_over_collections_and_blocks_of_questions(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    own = rng.standard_normal((300, 8))
+    own[10] = own[11] = own[12]
+    rows = [(i, v.tolist(), f"c{i % 3}" if i % 50 else None) for i, v in enumerate(own)] + [(300, None, "c0"), (301, [0.0] * 8, "c0"), (302, [1.0] * 4, "c0"), (303, [float("nan")] * 8, "c1"), (304, [None, *[1.0] * 7], "c1")]
+    vectors = spark.createDataFrame(rows, "chunk_id long, dense array<float>, k string").repartition(4)
+    asked = [(f"q{j}", rng.standard_normal(8).tolist()) for j in range(9)] + [("none", None), ("zero", [0.0] * 8)]
+    queries = spark.createDataFrame(asked, "query_id string, dense array<double>")
+    expected = set()
+    x = own.astype(np.float32).astype(float)
+    for name, q in asked[:9]:
+        score = np.floor(x @ np.array(q) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q)) * 1e6 + 0.5) / 1e6
+        for key in ("c0", "c1", "c2", None):
+            for rank, i in enumerate(sorted((i for i in range(300) if rows[i][2] == key), key=lambda i: (-score[i], i))[:4]):
+                expected.add((name, key, i, rank))
+    for room in (64 << 20, 300):
+        monkeypatch.setattr(retrieval, "QUESTION_BYTES", room)
+        found = retrieval.dense(vectors, queries, 4, ["k"])
+        assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+        assert {(r["query_id"], r["k"], r["chunk_id"], r["rank"]) for r in found.collect()} == expected
