@@ -3,8 +3,12 @@ boosts, quotas and parent texts. Every step keeps query_id, so that any number o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +19,8 @@ from ledgerlark.functions import text as X
 HYBRID_K, TABLE_K, SCROLL_K, SCROLL_SCORE, CANDIDATES, QUOTA = 10, 10, 5, 0.4, 40, 2
 RRF_C = 2
 K1, B = 1.2, 0.75
+#: Bytes of question vectors that go to the tasks at once.
+QUESTION_BYTES = 64 << 20
 INCOME = "fs_income_stmt"
 FOCUS_SECTION = {
     "business_overview": "item_1_business", "risk_factors": "item_1a_risk_factors", "legal_proceedings": "item_3_legal",
@@ -46,7 +52,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame
     the chunks given. Only terms that questions hold are counted and shuffled."""
     asked = queries.select("query_id", F.explode(F.array_distinct(X.terms("question"))).alias("term"))
     found = postings(chunks, asked, text)
-    lengths = chunks.select(F.size(X.terms(text)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+    lengths = chunks.select(F.regexp_count(F.lower(X.text_of(text)), F.lit(X.TERM)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
     n, mean = lengths.select("n").scalar(), lengths.select("mean").scalar()
     many = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -60,18 +66,74 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): cosine of every vector (chunk_id, dense) with each question's, exactly.
-
-    The question set is the small side of the pairing and is scored against all rows in one scan."""
-    asked = queries.where("dense is not null").select("query_id", F.col("dense").alias("asked"))
-    return vectors.crossJoin(asked).select("query_id", "chunk_id", F.round(cosine(F.col("dense"), F.col("asked")), 6).alias("score")).where("score is not null")
+def dense(vectors: DataFrame, queries: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """(query_id, keys, chunk_id, score, rank): the k vectors (chunk_id, dense, keys) of each collection with the greatest cosine to each
+    question's, exactly.
+
+    The question set goes to every task, in blocks of at most QUESTION_BYTES, and is scored against a batch of vectors in one product of
+    matrices; a batch gives at most k rows for each question and collection. Vectors that are null, zero, of another length or hold null or
+    non-finite components have no score."""
+    keys = keys or []
+    names = ["chunk_id", *keys]
+    asked = queries.where("dense is not null").select("query_id", F.col("dense").cast("array<double>").alias("dense"))
+    size = asked.agg(F.coalesce(F.sum(F.size("dense") * 8 + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // QUESTION_BYTES))
+    kind = dict(vectors.dtypes) | dict(queries.dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in [("query_id", kind["query_id"]), *((c, kind[c]) for c in names), ("score", "double")])
+    own = vectors.select(*names, F.col("dense").cast("array<double>").alias("dense"))
+    lists = []
+    for block in range(blocks):
+        told = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+
+        def work(batches: Iterator[pa.RecordBatch], told: pa.Table = told) -> Iterator[pa.RecordBatch]:
+            questions = _matrices(told)
+            for batch in batches:
+                yield from _best(pa.Table.from_batches([batch]), told, questions, names, k)
+
+        lists.append(own.mapInArrow(work, schema))
+    return top(reduce(DataFrame.unionByName, lists), k, ["query_id", *keys])
+
+
+def _matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places of the usable vectors and the vectors, scaled to length 1."""
+    column = table.column("dense").combine_chunks()
+    found = {}
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.nonzero(lengths == dim)[0]
+        x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+        with np.errstate(all="ignore"):
+            long = np.sqrt((x * x).sum(axis=1))
+            good = np.isfinite(long) & (long > 0)
+            found[dim] = (rows[good], x[good] / long[good, None])
+    return found
+
+
+def _best(batch: pa.Table, told: pa.Table, questions: dict[int, tuple[np.ndarray, np.ndarray]], names: list[str], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of a batch for each question and collection; ties by id."""
+    for dim, (rows, x) in _matrices(batch).items():
+        if dim not in questions or not len(rows):
+            continue
+        asked, q = questions[dim]
+        part = batch.select(names).take(pa.array(rows))
+        order = pc.sort_indices(part, [("chunk_id", "ascending")]).to_numpy()
+        part, score = part.take(pa.array(order)), np.floor(x[order] @ q.T * 1e6 + 0.5) / 1e6
+        group = np.zeros(len(order), np.int64)
+        for c in names[1:]:
+            codes = pc.dictionary_encode(part.column(c).combine_chunks(), null_encoding="encode").indices.to_numpy()
+            group = group * (codes.max() + 1) + codes
+        for g in np.unique(group).tolist():
+            own = np.nonzero(group == g)[0]
+            at = np.argsort(-score[own], axis=0, kind="stable")[:k]
+            i, j = own[at].ravel(), np.broadcast_to(np.arange(len(asked)), at.shape).ravel()
+            found = part.take(pa.array(i))
+            yield from pa.table([told.column("query_id").take(pa.array(asked[j])), *found.columns, pa.array(score[i, j])], names=["query_id", *names, "score"]).combine_chunks().to_batches()
 
 
 def top(scored: DataFrame, k: int, per: list[str], tie: str = "chunk_id") -> DataFrame:
-    """The best k of each group, with rank from 0; ties by id."""
-    rank = F.row_number().over(W.partitionBy(*per).orderBy(F.desc("score"), tie))
-    return scored.withColumn("rank", rank - 1).where(F.col("rank") < k)
+    """The best k of each group, with rank from 0; ties by id. The bound on the row number is one that Spark applies before the shuffle too."""
+    place = F.row_number().over(W.partitionBy(*per).orderBy(F.desc("score"), tie))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def fused(lists: list[DataFrame], k: int, per: list[str], c: int = RRF_C) -> DataFrame:
@@ -87,15 +149,18 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, keys: list
     scope = chunks if chunk_type is None else chunks.where(F.col("chunk_type") == chunk_type)
     where = scope.select("chunk_id", *keys)
     per = ["query_id", *keys]
-    return fused([top(s.join(where, "chunk_id"), k, per) for s in (dense(vectors, queries), bm25(scope, queries))], k, per)
+    own = vectors.select("chunk_id", "dense").join(where, "chunk_id")  # only vectors of the scope are scored
+    return fused([dense(own, queries, k, keys), top(bm25(scope, queries).join(where, "chunk_id"), k, per)], k, per)
 
 
 def scroll(chunks: DataFrame, queries: DataFrame, section: Column, keys: list[str], k: int = SCROLL_K) -> DataFrame:
     """The first k chunks of a section in each collection, with a constant score; section may depend on the question."""
     asked = queries.select("query_id", section.alias("wanted")).where("wanted is not null")
-    met = chunks.withColumn("base", F.regexp_replace("section_id", r"__\d+$", "")).join(asked, F.col("base") == F.col("wanted"))
-    rank = F.row_number().over(W.partitionBy("query_id", *keys).orderBy("position", "chunk_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *keys, "chunk_id", F.lit(SCROLL_SCORE).alias("score"))
+    based = chunks.select("chunk_id", "position", *keys, F.regexp_replace("section_id", r"__\d+$", "").alias("base"))
+    named = based.join(asked.select(F.col("wanted").alias("base")).distinct(), "base", "left_semi")
+    rank = F.row_number().over(W.partitionBy(*keys, "base").orderBy("position", "chunk_id"))  # the same for all questions
+    first = named.withColumn("rank", rank).where(F.col("rank") <= k)
+    return first.join(asked, F.col("base") == F.col("wanted")).select("query_id", *keys, "chunk_id", F.lit(SCROLL_SCORE).alias("score"))
 
 
 def focus_section(focus: str = "focus") -> Column:
@@ -166,10 +231,12 @@ def with_parents(chunks: DataFrame, parents: DataFrame, on: list[str], parent: s
     return chunks.join(parents.select(*on, parent), on, "left").withColumn(parent, F.coalesce(F.nullif(F.col(parent), F.lit("")), F.col(text)))
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, keys: list[str], parents: DataFrame | None = None, score=overlap_score) -> DataFrame:
-    """Passes, candidates, reranking, boosts, quotas and parents for questions (query_id, question, dense, focus, k)."""
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, keys: list[str], parents: DataFrame | None = None, score=overlap_score, parent_keys: list[str] | None = None) -> DataFrame:
+    """Passes, candidates, reranking, boosts, quotas and parents for questions (query_id, question, dense, focus, k).
+
+    parent_keys are the columns of chunks and parents that name a section's text: by default the collection and the section."""
     found = candidates(passes(chunks, vectors, queries, keys)).select("query_id", "chunk_id")
     rows = found.join(chunks, "chunk_id").join(queries.select("query_id", "question", "focus", "k"), "query_id")
     rows = rows.withColumn("score", F.round(score("question", "text") + boost(), 6))
     kept = diverse(rows, [*keys, "section_name", "chunk_type"], F.col("k"))
-    return with_parents(kept, parents, [*keys, "section_id"]) if parents is not None else kept
+    return with_parents(kept, parents, parent_keys or [*keys, "section_id"]) if parents is not None else kept
