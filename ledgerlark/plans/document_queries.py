@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
-from ledgerlark.operators import chunking, evaluation, indexing, parsing
+from ledgerlark.operators import chunking, evaluation, indexing, parsing, retrieval
 from ledgerlark.plans import fixtures as fx
 from ledgerlark.plans.registry import query
 from ledgerlark.plans.retrieval_queries import ROWS_SQL, statement_rows
@@ -141,17 +141,25 @@ def hashed_encoder(spark, sf_dir):
 
 
 TERMS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))".format
-RUNS = f"""runs AS (
-  SELECT item_id, b.text AS question, b.text AS truth, d.text AS ctx FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+# Each benchmark item with the five documents that BM25 finds for it among all.
+RUNS = f"""{fx.CHUNKS_SQL.strip()}, {fx.bm25_sql("chunks", "bm")},
+runs AS (
+  SELECT query_id AS item_id, question, question AS truth, text AS ctx
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM bm) JOIN chunks USING (chunk_id) JOIN questions USING (query_id) WHERE n <= 5),
 g AS (SELECT item_id, any_value(question) AS question, any_value(truth) AS truth, string_agg(ctx, chr(10) ORDER BY ctx) AS joined, avg(CASE WHEN len(list_intersect({TERMS("truth")}, {TERMS("ctx")})) >= 0.5 * len({TERMS("truth")}) THEN 1.0 ELSE 0.0 END) AS cp FROM runs GROUP BY item_id)"""
 
 
+def eval_runs(spark, sf_dir):
+    rows, asked = fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir)
+    found = retrieval.top(retrieval.bm25(rows, asked), 5, ["query_id"]).join(rows.select("chunk_id", "text"), "chunk_id")
+    found = found.groupBy("query_id").agg(F.sort_array(F.collect_list("text")).alias("contexts")).join(asked.select("query_id", "question"), "query_id")
+    return found.select(F.col("query_id").alias("item_id"), "question", F.col("question").alias("answer"), F.col("question").alias("ground_truth"), "contexts")
+
+
 @query("eval_context_recall", f"""WITH {RUNS}
 SELECT item_id, round(CAST(len(list_intersect({TERMS("truth")}, {TERMS("joined")})) AS DOUBLE) / len({TERMS("truth")}), 6) AS context_recall, round(CAST(cp AS DOUBLE), 6) AS context_precision FROM g""")
 def eval_context_recall(spark, sf_dir):
-    b, d = fx.table(spark, sf_dir, "benchmark"), fx.table(spark, sf_dir, "documents").select(F.col("doc_id") % 40, F.col("text").alias("ctx")).toDF("slot", "ctx")
-    rows = b.withColumn("slot", F.col("item_id") % 40).join(d, "slot").groupBy("item_id").agg(F.any_value("text").alias("question"), F.any_value("text").alias("answer"), F.any_value("text").alias("ground_truth"), F.sort_array(F.collect_list("ctx")).alias("contexts"))
-    return evaluation.scored(rows).select("item_id", "context_recall", "context_precision")
+    return evaluation.scored(eval_runs(spark, sf_dir)).select("item_id", "context_recall", "context_precision")
 
 
 @query("eval_containment", "SELECT item_id, count(doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")

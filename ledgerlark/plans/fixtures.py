@@ -26,7 +26,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id") % len(SECTIONS)
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), *KEYS, "text", F.col("doc_id").alias("position"), _pick([s for s, _ in SECTIONS], n).alias("section_id"), _pick([t for _, t in SECTIONS], n).alias("section_name"),
-        F.when(F.contains("text", F.lit("|")), "table").otherwise("text").alias("chunk_type"),
+        F.when(F.contains("text", F.lit("|")), "table").otherwise("text").alias("chunk_type"), F.floor(F.col("doc_id") / 1000).alias("filing"),
     )
 
 
@@ -46,7 +46,7 @@ def sql_list(values: list[str]) -> str:
 CHUNKS_SQL = f"""
 chunks AS (
   SELECT doc_id AS chunk_id, source, lang, text, doc_id AS position, {sql_list([s for s, _ in SECTIONS])}[doc_id % {len(SECTIONS)} + 1] AS section_id,
-         {sql_list([t for _, t in SECTIONS])}[doc_id % {len(SECTIONS)} + 1] AS section_name, CASE WHEN contains(text, '|') THEN 'table' ELSE 'text' END AS chunk_type FROM documents),
+         {sql_list([t for _, t in SECTIONS])}[doc_id % {len(SECTIONS)} + 1] AS section_name, CASE WHEN contains(text, '|') THEN 'table' ELSE 'text' END AS chunk_type, doc_id // 1000 AS filing FROM documents),
 vectors AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS dense FROM embeddings),
 questions AS (
   SELECT item_id AS query_id, text AS question, {sql_list(FOCI)}[item_id % {len(FOCI)} + 1] AS focus, CAST(3 * (item_id % 5 + 1) AS INTEGER) AS k, v.dense

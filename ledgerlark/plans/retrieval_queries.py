@@ -19,7 +19,7 @@ def bm25_topk(spark, sf_dir):
 
 @query("cosine_topk", f"WITH {fx.CHUNKS_SQL} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM (SELECT q.query_id, v.chunk_id, round({fx.COSINE_SQL}, 6) AS score FROM vectors v, questions q WHERE q.dense IS NOT NULL)) WHERE rank < 10")
 def cosine_topk(spark, sf_dir):
-    return retrieval.top(retrieval.dense(fx.vectors(spark, sf_dir), fx.questions(spark, sf_dir)), 10, ["query_id"])
+    return retrieval.dense(fx.vectors(spark, sf_dir), fx.questions(spark, sf_dir), 10)
 
 
 @query("hybrid_rrf", f"WITH {fx.CHUNKS_SQL}, {fx.hybrid_sql('chunks', 'h')} SELECT query_id, source, lang, chunk_id, score, rank FROM h")
@@ -111,19 +111,21 @@ def diversity_quota(spark, sf_dir):
     return retrieval.diverse(ranked, [*fx.KEYS, "section_name", "chunk_type"], F.col("k")).select("query_id", "chunk_id", "score", "rank")
 
 
-PARENTS = "parents AS (SELECT source, lang, section_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS parent_text FROM chunks WHERE chunk_id % 3 = 0 GROUP BY ALL)"
+PARENT_KEYS = [*fx.KEYS, "filing", "section_id"]
+PARENTS = "parents AS (SELECT source, lang, filing, section_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS parent_text FROM chunks WHERE section_id <> 'fs_notes' GROUP BY ALL)"
+SAME_PARENT = "ON {0}.source = p.source AND {0}.lang = p.lang AND {0}.filing = p.filing AND {0}.section_id = p.section_id"
 
 
 def parents(rows):
-    """Texts of sections, of every third chunk, so that some chunks have no parent."""
+    """Texts of the sections of a filing, of all their chunks; notes have none stored, so that their chunks have no parent."""
     ordered = F.sort_array(F.collect_list(F.struct("position", "text")))
-    return rows.where("chunk_id % 3 = 0").groupBy(*fx.KEYS, "section_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("parent_text"))
+    return rows.where("section_id <> 'fs_notes'").groupBy(*PARENT_KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("parent_text"))
 
 
-@query("parent_join", f"WITH {fx.CHUNKS_SQL}, {PARENTS} SELECT chunk_id, md5(coalesce(nullif(p.parent_text, ''), c.text)) AS parent_md5 FROM chunks c LEFT JOIN parents p ON c.source = p.source AND c.lang = p.lang AND c.section_id = p.section_id")
+@query("parent_join", f"WITH {fx.CHUNKS_SQL}, {PARENTS} SELECT chunk_id, md5(coalesce(nullif(p.parent_text, ''), c.text)) AS parent_md5 FROM chunks c LEFT JOIN parents p {SAME_PARENT.format('c')}")
 def parent_join(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir)
-    return retrieval.with_parents(rows, parents(rows), [*fx.KEYS, "section_id"]).select("chunk_id", F.md5(F.col("parent_text").cast("binary")).alias("parent_md5"))
+    return retrieval.with_parents(rows, parents(rows), PARENT_KEYS).select("chunk_id", F.md5(F.col("parent_text").cast("binary")).alias("parent_md5"))
 
 
 def _terms(c: str) -> str:
@@ -136,10 +138,10 @@ sc AS (SELECT *, round(coalesce(CAST(len(list_intersect({_terms("question")}, {_
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, lang, section_name, chunk_type ORDER BY score DESC, chunk_id) AS n FROM sc) WHERE n <= 2),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM o) WHERE rank <= k)
 SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank, md5(coalesce(nullif(p.parent_text, ''), r.text)) AS parent_md5
-FROM r LEFT JOIN parents p ON r.source = p.source AND r.lang = p.lang AND r.section_id = p.section_id""")
+FROM r LEFT JOIN parents p {SAME_PARENT.format("r")}""")
 def retrieve(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir)
-    found = retrieval.retrieve(rows, fx.vectors(spark, sf_dir), fx.questions(spark, sf_dir), fx.KEYS, parents(rows))
+    found = retrieval.retrieve(rows, fx.vectors(spark, sf_dir), fx.questions(spark, sf_dir), fx.KEYS, parents(rows), parent_keys=PARENT_KEYS)
     return found.select("query_id", "chunk_id", "score", "rank", F.md5(F.col("parent_text").cast("binary")).alias("parent_md5"))
 
 

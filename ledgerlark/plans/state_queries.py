@@ -135,7 +135,7 @@ def priority_split(spark, sf_dir):
 NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))".format
 
 
-@query("resolve_company", f"""WITH reg AS (SELECT 'P' || p_partkey AS ticker, p_name AS title, p_partkey AS ord, {NORM("p_name")} AS norm, replace({NORM("p_name")}, ' ', '') AS tight FROM part WHERE p_partkey <= 2000),
+@query("resolve_company", f"""WITH reg AS (SELECT 'P' || p_partkey AS ticker, p_name AS title, p_partkey AS ord, {NORM("p_name")} AS norm, replace({NORM("p_name")}, ' ', '') AS tight FROM part),
 m AS (SELECT s_suppkey AS mention_id, CASE WHEN s_suppkey % 4 = 0 THEN 'p' || s_suppkey WHEN s_suppkey % 4 = 1 THEN split_part(p_name, ' ', 1) ELSE upper(replace(p_name, ' ', '-')) END AS mention FROM supplier JOIN part ON p_partkey = s_suppkey),
 n AS (SELECT *, {NORM("mention")} AS name FROM m),
 hit AS (SELECT mention_id, ticker, title, ord, 1 AS tier FROM n JOIN reg ON upper(ticker) = upper(trim(mention))),
