@@ -52,8 +52,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame
     the chunks given. Only terms that questions hold are counted and shuffled."""
     asked = queries.select("query_id", F.explode(F.array_distinct(X.terms("question"))).alias("term"))
     found = postings(chunks, asked, text)
-    lengths = chunks.select(F.regexp_count(F.lower(X.text_of(text)), F.lit(X.TERM)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    n, mean = lengths.select("n").scalar(), lengths.select("mean").scalar()
+    lengths = chunks.select(F.regexp_count(F.lower(X.text_of(text)), F.lit(X.TERM)).alias("dl")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).alias("all")).scalar()
+    n, mean = lengths["n"], lengths["mean"]
     many = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
