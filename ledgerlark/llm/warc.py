@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.common import integer_id
+
 CRLF = "\r\n"
 #: Records of a file: three for each capture, so that a reader holds a few MB at a time.
 FILE_RECORDS = 3000
@@ -44,12 +46,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     uri = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), uri.alias("uri"), body.alias("body"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("size"))
+    rows = pages.select(integer_id(pages, id_col).alias("page_id"), uri.alias("uri"), body.alias("body"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("size"))
     rows = rows.withColumn("key", _key(F.col("page_id"), F.col("uri"), F.col("digest")))
     rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "key")
-    found = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", F.col("first.key").alias("first_key"), F.col("first.page_id").alias("first_page"))
-    rows = rows.join(found, "digest", "left")
-    again = F.coalesce(F.col("first_key") != F.col("key"), F.lit(False))
+    same = rows.where(F.col("size") >= least).select("digest", "key", "page_id")
+    found = same.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", F.col("first.key").alias("first_key"))
+    revisits = same.join(found, "digest").where("key != first_key").select("key", "first_key").distinct()
+    rows = rows.join(revisits, "key", "left")  # bodies meet by their own keys, so that no hot payload gathers them
+    again = F.col("first_key").isNotNull()
     key, uri = F.col("key"), F.col("uri")
     angled = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     main = _headed("HTTP/1.1 200 OK", [("Content-Type", F.lit("text/html; charset=utf-8")), ("Content-Length", F.col("size"))], F.when(again, "").otherwise(F.col("body")))
@@ -168,7 +172,9 @@ def captures(pages: DataFrame, path: str, least: int = 100, payload: bool = Fals
     write_archives(pages, path, id_col, url_col, html_col, least)
     met = transactions(read_records(pages.sparkSession, path, payload))
     full = met.where(F.col("response.kind") == "response").select(F.col("key").alias("first"), F.col("page_id").alias("first_page"), F.col("response.payload_bytes").alias("first_bytes"))
-    met = met.join(full, F.col("response.refers_to") == F.col("first"), "left")
+    again = F.col("response.kind") == "revisit"
+    # what refers to nothing goes by its own key: null keys would all meet in one task
+    met = met.join(full, F.coalesce("response.refers_to", "key") == F.col("first"), "left").withColumn("first_page", F.when(again, F.col("first_page")))
     met = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return met.select(
         "page_id", "key", "request", "response", "metadata", F.coalesce("response.payload_bytes", "first_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
