@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlark.llm.common import per_key, saved, text_batches
+from ledgerlark.llm.common import free_name, integer_id, per_key, saved, scratch, text_batches
 from ledgerlark.llm.components import connected_components
 
 SEED = 42
@@ -76,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(found[:, k].view(np.int64)) for k in range(n_words))], ["id", *names])
 
     names = [f"w{k}" for k in range(n_words)]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(integer_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, "id long, " + ", ".join(f"{x} long" for x in names))
 
 
@@ -100,7 +101,7 @@ def sampled_masks(rows: int, n_words: int, differ: float, recall: float, group:
     Two fingerprints that differ in a share `differ` of their bits agree on a mask of k bits with probability
     (1 - differ)^k; as many masks are made as bring the chance of one agreement to `recall`.
     """
-    k = min(20, max(10, math.ceil(math.log2(max(rows, 2) / group))))
+    k = min(32, max(10, math.ceil(math.log2(max(rows, 2) / group))))
     n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** k))
     out = []
     for j in range(n):
@@ -333,15 +334,19 @@ def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: li
     return pa.table([pa.array(a), pa.array(b), pa.array(kind), *(table.column(k).take(pa.array(at)) for k in CELL)], schema=GRADED)
 
 
+#: Standard errors by which a candidate's estimate may lie beyond the threshold.
+ERRORS = 3
+#: Tables that go before the others.
+FIRST_TABLES = (2,)
 CELL = ["t", "v", "x", "y"]
 CELL_TYPES = "t int, v long, x int, y int"
 GRADED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()), ("t", pa.int32()), ("v", pa.int64()), ("x", pa.int32()), ("y", pa.int32())])
-#: Top nodes (16 bytes each) that a join may broadcast; more are joined by a shuffle.
+#: Top nodes, or rows that pairs name (16 and 40 bytes each), that a join may broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 
 
-def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, only: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
-    """reps, or those of the top nodes in `only` (t, v), dealt out and sorted by cell (t, v, x, y): the rows that agree on a mask.
+def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, first: int = 0, only: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
+    """reps, or those of the top nodes in `only` (t, v), by the masks from `first` on, dealt out and sorted by cell (t, v, x, y): the rows that agree on a mask.
     own is a row's part of its top node. Pairs `refuted` (a, b, t, v, x, y) go to their cells as rows (id, no).
 
     A top node with more than `most` members is dealt into parts by a hash, and each pair of parts is one cell: no
@@ -349,7 +354,7 @@ def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, only: DataF
     """
     columns = reps.columns
     names = [x for x in reps.columns if x.startswith("w")]
-    tops = F.array(*(F.struct(F.lit(k).alias("t"), F.col(names[w]).bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (w, m) in enumerate(masks)))
+    tops = F.array(*(F.struct(F.lit(k).alias("t"), F.col(names[w]).bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (w, m) in enumerate(masks[first:], first)))
     rows = reps.withColumn("top", F.explode(tops)).select(*columns, "top.t", "top.v")
     if only is not None:
         few = only.count() <= BROADCAST_NODES
@@ -390,13 +395,14 @@ def components(prints: DataFrame, radius: int) -> DataFrame:
     """prints with component_id, the smallest id reachable by links of at most `radius` differing bits.
 
     Equal fingerprints are one node, so that a group of copies costs one row. Fingerprints have one word, and the links
-    are complete (block_masks). A fingerprint that only null ids have gets a null component_id.
+    are complete (block_masks). A fingerprint that only null ids have gets a null component_id. The result is a table in the shared folder.
     """
     names = [x for x in prints.columns if x.startswith("w")]
-    reps = saved(prints.groupBy(*names).agg(F.min("id").alias("id")))
-    found = connected_components(near_links(reps.where("id is not null"), block_masks(reps.count(), radius), radius))
-    classes = reps.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(classes, names, "inner")
+    with scratch(prints.sparkSession) as kept:
+        reps = saved(prints.groupBy(*names).agg(F.min("id").alias("id")))
+        found = connected_components(near_links(reps.where("id is not null"), block_masks(reps.count(), radius), radius))
+        classes = reps.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("component_id"))
+        return kept(prints.join(classes, names, "inner"))
 
 
 def hex_digits(*words: str) -> Column:
@@ -409,8 +415,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts share fingerprint zero and are linked like any other; very long texts are read
     whole; repeated rows are members of one component; an empty table gives no rows; other columns are not read.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, shingle))
-    return components(prints, radius).select(F.col("id").alias("doc_id"), hex_digits("w0").alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession) as kept:
+        prints = saved(fingerprints(docs, id_col, text_col, shingle))
+        return kept(components(prints, radius).select(F.col("id").alias("doc_id"), hex_digits("w0").alias("fingerprint"), "component_id"))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -446,9 +453,10 @@ def _similar_within(table: pa.Table, similarity: float) -> pa.Table:
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of the pairs (a, b, t, v, x, y) whose texts have at least this Jaccard similarity. Only texts that a pair names are hashed, and
     a set moves once for each cell that names it, however many pairs do."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), *CELL).distinct()
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends.select("id").distinct(), "id", "left_semi")
-    rows = ends.join(saved(shingle_sets(named, "id", "text", shingle)), "id").unionByName(pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), *CELL), allowMissingColumns=True)
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("id"), *CELL).distinct())
+    sent = F.broadcast if ends.count() <= BROADCAST_NODES else lambda x: x
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(sent(ends.select("id").distinct()), "id", "left_semi")
+    rows = saved(shingle_sets(named, "id", "text", shingle)).join(sent(ends), "id").select("id", "shingles", *CELL).unionByName(pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), *CELL), allowMissingColumns=True)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return per_key(batches, CELL, lambda table: _similar_within(table, similarity))
@@ -457,56 +465,84 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return rows.repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(work, "a long, b long").distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98, asked: int = 2, most: int = 1024) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98, asked: int = 1, most: int = 1024) -> DataFrame:
     """(id, component_id) of rows with ids that are not null, over links of at least this Jaccard similarity of runs of words.
 
     The distance of the fingerprints of distinct shingles estimates the similarity, with a standard error that 64 * n_words bits make small.
-    Pairs up to three errors beyond the threshold are candidates, nearest first, and links only if the texts' own shingles say so; those
+    Pairs up to ERRORS errors beyond the threshold are candidates, nearest first, and links only if the texts' own shingles say so; those
     beyond are none. A class first asks about its nearest pair with each of the `asked` nearest other classes;
-    top nodes where pairs were left out are searched again, with the classes found so far joined, the refuted pairs set aside and four times as
-    many classes, and pairs of each two, asked. The rounds end when every candidate has been verified or joins rows that are linked by others.
+    top nodes where pairs were left out are searched again, with the classes found so far joined and the refuted pairs set aside; after rounds in which
+    most pairs were refuted, 4 or (after over 95 %) 16 times as many classes, and pairs of each two, are asked. The rounds end when every candidate has been verified or
+    joins rows that are linked by others. The first masks go before the others, so that what they join is not asked about again in every table.
     Masks are sampled so that a pair at the threshold is met with probability `recall`, nearer ones oftener. Equal fingerprints are one node.
+    Null, empty and blank texts are copies of one another; texts of fewer words than a shingle have one shingle, all their words; very long texts
+    are read whole; rows that repeat an id are one node each and get the class of all of them. An empty table gives no rows; other columns are not read.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, shingle, n_words, distinct=True).where("id is not null"))
+    spark = docs.sparkSession
     names = [f"w{k}" for k in range(n_words)]
-    reps = saved(prints.groupBy(*names).agg(F.min("id").alias("id")))
     bits = 64 * n_words
     middle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     error = math.sqrt(middle * (1 - middle) / bits)
-    wide = math.floor(bits * (middle + 3 * error))
-    masks = sampled_masks(reps.count(), n_words, middle, recall)
-    classes = reps.withColumn("c", F.col("id"))
-    links = only = refuted = None
-    per = 1
-    while True:
-
-        def work(batches: Iterable[pa.RecordBatch], asked: int = asked, per: int = per) -> Iterator[pa.RecordBatch]:
-            return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, wide, asked, per))
-
-        found = saved(_dealt(classes, masks, most, only, refuted).mapInArrow(work, "a long, b long, kind int, " + CELL_TYPES))
-        pairs = found.where(F.col("kind") == ASK).select("a", "b", *CELL)
-        similar = pairs.select("a", "b") if pairs.isEmpty() else saved(verified(pairs, docs, id_col, text_col, shingle, similarity))
-        links = saved(similar if links is None else similar.unionByName(links))
-        joined = connected_components(links)
-        classes = saved(reps.join(joined, F.col("id") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "id").alias("c")))
-        only = saved(found.where(F.col("kind") == MORE).select("t", "v").distinct())
-        if only.isEmpty():
-            return prints.join(classes.select(*names, F.col("c").alias("component_id")), names).select("id", "component_id")
-        failed = pairs.join(similar, ["a", "b"], "left_anti").select("a", "b", *CELL)
-        refuted = saved((failed if refuted is None else failed.unionByName(refuted)).join(only, ["t", "v"], "left_semi"))
-        asked, per = 4 * asked, 4 * per
+    wide = math.floor(bits * (middle + ERRORS * error))
+    with scratch(spark) as kept:
+        prints = saved(fingerprints(docs, id_col, text_col, shingle, n_words, distinct=True).where("id is not null"))
+        reps = saved(prints.groupBy(*names).agg(F.min("id").alias("id")))
+        masks = sampled_masks(reps.count(), n_words, middle, recall)
+        classes = reps.withColumn("c", F.col("id"))
+        links = None
+        for first, end in zip(steps := [0, *FIRST_TABLES, len(masks)], steps[1:], strict=False):
+            only = refuted = None
+            now, per = asked, 1
+            while True:
+
+                def work(batches: Iterable[pa.RecordBatch], now: int = now, per: int = per) -> Iterator[pa.RecordBatch]:
+                    return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, wide, now, per))
+
+                found = saved(_dealt(classes, masks[:end], most, first, only, refuted).mapInArrow(work, "a long, b long, kind int, " + CELL_TYPES))
+                pairs = found.where(F.col("kind") == ASK).select("a", "b", *CELL)
+                n, alike, similar = pairs.count(), 0, pairs.select("a", "b")
+                if n:
+                    similar = saved(verified(pairs, docs, id_col, text_col, shingle, similarity))
+                    alike = similar.count()
+                if alike:
+                    links = saved(similar if links is None else similar.unionByName(links))
+                    joined = connected_components(links)
+                    classes = saved(reps.join(joined, F.col("id") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "id").alias("c")))
+                only = saved(found.where(F.col("kind") == MORE).select("t", "v").distinct())
+                if only.isEmpty():
+                    break
+                failed = pairs.join(similar, ["a", "b"], "left_anti").select("a", "b", *CELL)
+                refuted = saved((failed if refuted is None else failed.unionByName(refuted)).join(only, ["t", "v"], "left_semi"))
+                more = 1 if 2 * alike >= n else 4 if 20 * alike >= n else 16
+                now, per = more * now, more * per
+        return kept(prints.join(classes.select(*names, F.col("c").alias("component_id")), names).select("id", "component_id"))
 
 
 def kept_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98) -> DataFrame:
     """docs without those whose component has a smaller id: one document of each group of near copies stays.
 
-    Of rows that repeat an id, the least (by all columns in order) stays if the id does; a row whose id is null
-    always stays. Columns and their order are those of docs.
+    Of rows that repeat an id, the least stays if the id does: by all columns in order, maps as their sorted entries; a row whose id is null
+    always stays. Of null, empty and blank texts one stays. Columns and their order are those of docs, whatever their names; an empty table
+    gives no rows.
     """
-    found = saved(similar_components(docs, id_col, text_col, shingle, similarity, n_words, recall))
-    again = saved(found.groupBy("id").count().where(F.col("count") > 1).select(F.col("id").alias(id_col)))
+    found = similar_components(docs, id_col, text_col, shingle, similarity, n_words, recall)
+    again = saved(found.groupBy("id").count().where(F.col("count") > 1).select("id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = lambda ids: F.col(f"`{id_col}`").cast("long") == ids
     if not again.isEmpty():
-        least = docs.join(again, id_col, "left_semi").select(*docs.columns).groupBy(F.col(id_col).alias("of_id"))
-        docs = docs.join(again, id_col, "left_anti").select(*docs.columns).unionByName(least.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+        twice = again.select(F.col("id").alias(free_name(docs.columns, "twice")))
+        own = docs.join(twice, same(F.col(twice.columns[0])), "left_semi").select(F.struct(*columns).alias("row"))
+        order = F.struct(*(F.array_sort(F.map_entries(f"row.`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.to_json(F.struct(f"row.`{f.name}`")) if _unordered(f.dataType) else F.col(f"row.`{f.name}`") for f in docs.schema))
+        least = own.groupBy(F.col(f"row.`{id_col}`").cast("long").alias("of_id")).agg(F.min_by("row", order).alias("row"))
+        docs = docs.join(twice, same(F.col(twice.columns[0])), "left_anti").select(*columns).unionByName(least.select("row.*"))
+    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(free_name(docs.columns, "gone"))).distinct()
+    return docs.join(gone, same(F.col(gone.columns[0])), "left_anti").select(*columns)
+
+
+def _unordered(kind: T.DataType) -> bool:
+    """Whether values of this type hold a map somewhere, or are of a type without an order."""
+    if isinstance(kind, T.ArrayType):
+        return _unordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType | T.VariantType)
