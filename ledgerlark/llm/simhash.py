@@ -489,7 +489,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         reps = saved(prints.groupBy(*names).agg(F.min("id").alias("id")))
         masks = sampled_masks(reps.count(), n_words, middle, recall)
         classes = reps.withColumn("c", F.col("id"))
-        links = None
         for first, end in zip(steps := [0, *FIRST_TABLES, len(masks)], steps[1:], strict=False):
             only = refuted = None
             now, per = asked, 1
@@ -505,9 +504,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     similar = saved(verified(pairs, docs, id_col, text_col, shingle, similarity))
                     alike = similar.count()
                 if alike:
-                    links = saved(similar if links is None else similar.unionByName(links))
-                    joined = connected_components(links)
-                    classes = saved(reps.join(joined, F.col("id") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "id").alias("c")))
+                    class_of = classes.select(F.col("id").alias("node"), F.col("c").alias("of"))
+                    left = similar.join(class_of, F.col("a") == F.col("node")).select(F.col("of").alias("a"), "b")
+                    joined = connected_components(left.join(class_of, F.col("b") == F.col("node")).select("a", F.col("of").alias("b")))
+                    classes = saved(classes.join(joined, F.col("c") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "c").alias("c")))
                 only = saved(found.where(F.col("kind") == MORE).select("t", "v").distinct())
                 if only.isEmpty():
                     break
