@@ -341,7 +341,7 @@ FIRST_TABLES = (2,)
 CELL = ["t", "v", "x", "y"]
 CELL_TYPES = "t int, v long, x int, y int"
 GRADED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()), ("t", pa.int32()), ("v", pa.int64()), ("x", pa.int32()), ("y", pa.int32())])
-#: Top nodes, or rows that pairs name (16 and 40 bytes each), that a join may broadcast; more are joined by a shuffle.
+#: Top nodes, rows that pairs name or ids to leave out (16, 40 and 8 bytes each) that a join may broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 
 
@@ -535,7 +535,8 @@ def kept_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         order = F.struct(*(F.array_sort(F.map_entries(f"row.`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.to_json(F.struct(f"row.`{f.name}`")) if _unordered(f.dataType) else F.col(f"row.`{f.name}`") for f in docs.schema))
         least = own.groupBy(F.col(f"row.`{id_col}`").cast("long").alias("of_id")).agg(F.min_by("row", order).alias("row"))
         docs = docs.join(twice, same(F.col(twice.columns[0])), "left_anti").select(*columns).unionByName(least.select("row.*"))
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(free_name(docs.columns, "gone"))).distinct()
+    gone = saved(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(free_name(docs.columns, "gone"))).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
     return docs.join(gone, same(F.col(gone.columns[0])), "left_anti").select(*columns)
 
 
