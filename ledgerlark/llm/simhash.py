@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,91 +247,77 @@ def _places(keys: np.ndarray) -> np.ndarray:
     return np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
 
 
-def _nearest(pairs: list[tuple[np.ndarray, ...]], most: int, per: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Of pairs (class, other class, distance, row, other row): the `per` nearest of each two classes of which one is among the
-    `most` nearest of the other; and the rows of the pairs left out."""
+def _nearest(pairs: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Of pairs (class, other class, distance, row, other row): the nearest of each two classes of which one is among the `most` nearest
+    of the other; and the rows of the pairs left out."""
     p, q, d, a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
     order = np.lexsort((b, a, d, q, p))
     p, q, d, a, b = (z[order] for z in (p, q, d, a, b))
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-    two = np.cumsum(new) - 1
     side, far, least = np.append(p[new], q[new]), np.append(q[new], p[new]), np.tile(d[new], 2)
     order = np.lexsort((far, least, side))
     rank = np.empty(len(side), np.int64)
     rank[order] = _places(side[order])
-    keep = (np.minimum(*np.split(rank, 2)) < most)[two] & (_places(two) < per)
-    return tuple(z[keep] for z in (p, q, d, a, b)), a[~keep]
+    keep = np.zeros(len(p), bool)
+    keep[np.nonzero(new)[0][np.minimum(*np.split(rank, 2)) < most]] = True
+    return tuple(z[keep] for z in (p, q, d, a, b)), np.append(a[~keep], b[~keep])
 
 
-def _graded_within(table: pa.Table, keys: list[str], names: list[str], masks: list[tuple[int, int]], wide: int, most: int, per: int, small: int = 48) -> pa.Table:
-    """For rows sorted by top node, with classes c so far: ASK pairs of up to `wide` bits with their cell, the `per` nearest of each class and each of the `most` nearest other classes; and MORE with the
-    top nodes (t, v) of cells where pairs were left out. Rows with `no` name pairs (id, no) that were refuted before.
+def _candidates(table: pa.Table, names: list[str], masks: list[tuple[int, int]], wide: int, small: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For rows sorted by cell, with classes c so far: pairs of rows of one cell and two classes, of up to `wide` bits, with their distance.
 
-    A pair is asked in the first table in which it meets. Pairs of large cells are thinned as they are found."""
-    refuted = np.empty((0, 2), np.int64)
-    if "no" in table.column_names:
-        known = table.column("no").is_valid()
-        told = table.filter(known)
-        refuted = np.stack([told.column("id").to_numpy(), told.column("no").to_numpy()], axis=1)
-        table = table.filter(pc.invert(known))
-    n = table.num_rows
-    if not n:
-        return pa.Table.from_batches([], GRADED)
+    A pair is given in the first table in which it meets, and there in one cell."""
     words = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-    ids, classes, turn, value, own_part = (table.column(k).to_numpy() for k in ("id", "c", "t", "v", "own"))
+    classes, turn, own = (table.column(k).to_numpy() for k in ("c", "t", "own"))
     mixed = table.column("x").to_numpy() != table.column("y").to_numpy()
-    distinct, code = np.unique(ids, return_inverse=True)
-    refuted = refuted[np.isin(refuted, distinct).all(axis=1)]
-    refuted = np.unique(np.searchsorted(distinct, refuted) @ np.array([len(distinct), 1]))
-    begin, end = _cell_bounds(table, keys)
+    begin, end = _cell_bounds(table, CELL)
+
+    def fresh(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k in range(0, len(x), 65_536):
+            a, b = x[k : k + 65_536], y[k : k + 65_536]
+            apart = (classes[a] != classes[b]) & ~(mixed[a] & (own[a] == own[b]))  # rows of one part meet in its own cell
+            a, b = a[apart], b[apart]
+            met = np.zeros(len(a), bool)
+            for j, (w, m) in enumerate(masks[:-1]):
+                met |= (j < turn[a]) & ((words[a, w] ^ words[b, w]) & np.uint64(m) == 0)
+            a, b = a[~met], b[~met]
+            yield a, b, _distance(words[a], words[b])
+
+    yield from fresh(*_small_cell_pairs(words, begin, end, wide, small))
     large = end - begin > small
+    for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
+        for x, y in near_pairs(words[s:e], wide):
+            yield from fresh(x + s, y + s)
+
+
+def _graded_within(table: pa.Table, names: list[str], masks: list[tuple[int, int]], wide: int, most: int) -> pa.Table:
+    """Of the candidates in rows sorted by cell: ASK pairs (a, b), the nearest of each class and each of the `most` nearest other
+    classes, and MORE rows (a, its part of the top node) of the pairs left out, both with their cell. Pairs are thinned as they are found."""
+    ids, classes = table.column("id").to_numpy(), table.column("c").to_numpy()
+    begin, end = _cell_bounds(table, CELL)
     cell = np.repeat(np.arange(len(begin)), end - begin)
     _, first, same = np.unique(np.stack([cell, classes], axis=1), axis=0, return_index=True, return_inverse=True)
-    label = first[same.ravel()]  # rows of one class in a cell are one from the start
+    label = first[same.ravel()]  # classes by cell
     held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 5]
     weight, bound = 0, HELD_PAIRS
-    left_out = np.zeros(len(begin), bool)
-
-    def thin() -> None:
-        nonlocal held, weight, bound
-        kept, out = _nearest(held, most, per)
-        left_out[cell[out]] = True
-        held, weight = [kept], len(kept[0])
-        bound = max(HELD_PAIRS, 2 * weight)
-
-    def take(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal weight
-        apart = (label[x] != label[y]) & ~(mixed[x] & (own_part[x] == own_part[y]))  # rows of one part meet in its own cell
-        x, y = x[apart], y[apart]
-        met = np.zeros(len(x), bool)
-        for k, (w, m) in enumerate(masks[:-1]):
-            met |= (k < turn[x]) & ((words[x, w] ^ words[y, w]) & np.uint64(m) == 0)
-        if len(refuted):
-            pair = np.minimum(code[x], code[y]) * len(distinct) + np.maximum(code[x], code[y])
-            met |= refuted[np.minimum(np.searchsorted(refuted, pair), len(refuted) - 1)] == pair
-        x, y = x[~met], y[~met]
-        p, q = label[x], label[y]
-        held.append((np.minimum(p, q), np.maximum(p, q), _distance(words[x], words[y]), x, y))
+    left_out = np.zeros(table.num_rows, bool)
+    for x, y, d in _candidates(table, names, masks, wide):
+        held.append((np.minimum(label[x], label[y]), np.maximum(label[x], label[y]), d, x, y))
         weight += len(x)
         if weight > bound:
-            thin()
-
-    x, y = _small_cell_pairs(words, begin, end, wide, small)
-    for k in range(0, len(x), 65_536):
-        take(x[k : k + 65_536], y[k : k + 65_536])
-    for s, e in zip(begin[large].tolist(), end[large].tolist(), strict=True):
-        for x, y in near_pairs(words[s:e], wide):
-            for k in range(0, len(x), 65_536):
-                take(x[k : k + 65_536] + s, y[k : k + 65_536] + s)
-    thin()
-    _, _, _, x, y = held[0]
-    more = begin[left_out]
-    at = np.concatenate([x, more])
+            kept, out = _nearest(held, most)
+            left_out[out] = True
+            held, weight = [kept], len(kept[0])
+            bound = max(HELD_PAIRS, 2 * weight)
+    (_, _, _, x, y), out = _nearest(held, most)
+    left_out[out] = True
+    more = np.nonzero(left_out)[0]
     a = np.concatenate([np.minimum(ids[x], ids[y]), ids[more]])
-    b = np.concatenate([np.maximum(ids[x], ids[y]), ids[more]])
+    b = np.concatenate([np.maximum(ids[x], ids[y]), table.column("own").to_numpy()[more]])
     kind = np.repeat(np.array([ASK, MORE], np.int32), [len(x), len(more)])
-    return pa.table([pa.array(a), pa.array(b), pa.array(kind), *(table.column(k).take(pa.array(at)) for k in CELL)], schema=GRADED)
+    at = pa.array(np.concatenate([x, more]))
+    return pa.table([pa.array(a), pa.array(b), pa.array(kind), *(table.column(k).take(at) for k in CELL)], schema=GRADED)
 
 
 #: Standard errors by which a candidate's estimate may lie beyond the threshold.
@@ -345,9 +331,8 @@ GRADED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()),
 BROADCAST_NODES = 200_000
 
 
-def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, first: int = 0, only: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
-    """reps, or those of the top nodes in `only` (t, v), by the masks from `first` on, dealt out and sorted by cell (t, v, x, y): the rows that agree on a mask.
-    own is a row's part of its top node. Pairs `refuted` (a, b, t, v, x, y) go to their cells as rows (id, no).
+def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, first: int = 0) -> DataFrame:
+    """reps by the masks from `first` on, dealt out and sorted by cell (t, v, x, y): the rows that agree on a mask. own is a row's part of its top node.
 
     A top node with more than `most` members is dealt into parts by a hash, and each pair of parts is one cell: no
     task holds more than two parts, and every pair of members still meets in some cell.
@@ -356,9 +341,6 @@ def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, first: int
     names = [x for x in reps.columns if x.startswith("w")]
     tops = F.array(*(F.struct(F.lit(k).alias("t"), F.col(names[w]).bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (w, m) in enumerate(masks[first:], first)))
     rows = reps.withColumn("top", F.explode(tops)).select(*columns, "top.t", "top.v")
-    if only is not None:
-        few = only.count() <= BROADCAST_NODES
-        rows = rows.join(F.broadcast(only) if few else only, ["t", "v"], "left_semi")
     hot = saved(rows.groupBy("t", "v").count().where(F.col("count") > most).select("t", "v", F.ceil(F.col("count") / most).cast("int").alias("parts")))
     if hot.isEmpty():
         cells = rows.select(*columns, "t", "v", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"))
@@ -368,10 +350,12 @@ def _dealt(reps: DataFrame, masks: list[tuple[int, int]], most: int, first: int
         cells = rows.join(F.broadcast(hot) if few else hot, ["t", "v"], "left").select(*columns, "t", "v", F.coalesce("parts", F.lit(1)).alias("parts"))
         cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cells = cells.select(*columns, "t", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
-    if refuted is not None:
-        cells = cells.unionByName(refuted.select(F.col("a").alias("id"), F.col("b").alias("no"), *CELL), allowMissingColumns=True)
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(parts, *CELL).sortWithinPartitions(*CELL)
+    return _by_cell(cells)
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *CELL).sortWithinPartitions(*CELL)
 
 
 def near_links(reps: DataFrame, masks: list[tuple[int, int]], radius: int, most: int = 1024) -> DataFrame:
@@ -431,49 +415,93 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, shingles array<long>")
 
 
-def _similar_within(table: pa.Table, similarity: float) -> pa.Table:
-    """Of the pairs (id, other) in the table, those whose sets, in the rows without other, have at least this Jaccard similarity."""
-    paired = table.column("other").is_valid()
-    members, pairs = table.filter(pc.invert(paired)), table.filter(paired)
-    of: dict[int, list[np.ndarray]] = {}
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def _sets_of(table: pa.Table) -> tuple[dict[int, list[np.ndarray]], pa.Table]:
+    """The sets of each id, from the rows that hold one, and the other rows."""
+    holds = table.column("shingles").is_valid()
+    members, of = table.filter(holds), {}
     for i, shingles in zip(members.column("id").to_pylist(), members.column("shingles"), strict=True):
         of.setdefault(i, []).append(shingles.values.to_numpy())
+    return of, table.filter(pc.invert(holds))
 
-    def alike(a: np.ndarray, b: np.ndarray) -> bool:
-        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-            return False
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        return shared >= similarity * (len(a) + len(b) - shared)
 
+def _similar_within(table: pa.Table, similarity: float) -> pa.Table:
+    """Of the pairs (id, other) in the table, those whose sets have at least this Jaccard similarity."""
+    of, pairs = _sets_of(table)
     both = set(zip(pairs.column("id").to_pylist(), pairs.column("other").to_pylist(), strict=True))
-    found = [(a, b) for a, b in both if any(alike(u, v) for u in of.get(a, []) for v in of.get(b, []))]
+    found = [(a, b) for a, b in both if any(_alike(u, v, similarity) for u in of.get(a, []) for v in of.get(b, []))]
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of the pairs (a, b, t, v, x, y) whose texts have at least this Jaccard similarity. Only texts that a pair names are hashed, and
-    a set moves once for each cell that names it, however many pairs do."""
-    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("id"), *CELL).distinct())
+def _linked_within(table: pa.Table, names: list[str], masks: list[tuple[int, int]], wide: int, similarity: float) -> pa.Table:
+    """Every candidate of rows sorted by cell, the nearest first, verified on the sets unless its classes are linked already: the links that join classes."""
+    of, rows = _sets_of(table)
+    found = [(np.empty(0, np.int64),) * 3, *(_candidates(rows, names, masks, wide) if rows.num_rows else ())]
+    x, y, d = (np.concatenate(z) for z in zip(*found, strict=True))
+    order = np.lexsort((y, x, d))
+    _, code = np.unique(rows.column("c").to_numpy(), return_inverse=True)
+    above, ids, links = list(range(len(code))), rows.column("id").to_pylist(), []
+
+    def top(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    for i, j, p, q in zip(x[order].tolist(), y[order].tolist(), code[x[order]].tolist(), code[y[order]].tolist(), strict=True):
+        p, q = top(p), top(q)
+        if p != q and any(_alike(u, v, similarity) for u in of.get(ids[i], []) for v in of.get(ids[j], [])):
+            above[max(p, q)] = min(p, q)
+            links.append((ids[i], ids[j]))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _with_sets(rows: DataFrame, ends: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """rows, and the sets of `ends` (id, t, v, x, y), dealt and sorted by cell. Only texts that ends name are hashed, and a set moves
+    once for each cell that names it, however many pairs do."""
+    ends = saved(ends.distinct())
     sent = F.broadcast if ends.count() <= BROADCAST_NODES else lambda x: x
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(sent(ends.select("id").distinct()), "id", "left_semi")
-    rows = saved(shingle_sets(named, "id", "text", shingle)).join(sent(ends), "id").select("id", "shingles", *CELL).unionByName(pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), *CELL), allowMissingColumns=True)
+    sets = saved(shingle_sets(named, "id", "text", shingle)).join(sent(ends), "id").select("id", "shingles", *CELL)
+    return _by_cell(sets.unionByName(rows, allowMissingColumns=True))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, t, v, x, y) whose texts have at least this Jaccard similarity."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return per_key(batches, CELL, lambda table: _similar_within(table, similarity))
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(work, "a long, b long").distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), *CELL)
+    rows = _with_sets(pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), *CELL), ends, docs, id_col, text_col, shingle)
+    return rows.mapInArrow(work, "a long, b long").distinct()
+
+
+def _class_joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (w0 ..., id, c) after links (a, b) between ids: only the classes that links touch are joined."""
+    if links.isEmpty():
+        return classes
+    class_of = classes.select(F.col("id").alias("node"), F.col("c").alias("of"))
+    left = links.join(class_of, F.col("a") == F.col("node")).select(F.col("of").alias("a"), "b")
+    joined = connected_components(left.join(class_of, F.col("b") == F.col("node")).select("a", F.col("of").alias("b")))
+    others = [F.col(x) for x in classes.columns if x != "c"]
+    return saved(classes.join(joined, F.col("c") == F.col("node"), "left").select(*others, F.coalesce("component", "c").alias("c")))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 8, recall: float = 0.98, asked: int = 1, most: int = 1024) -> DataFrame:
     """(id, component_id) of rows with ids that are not null, over links of at least this Jaccard similarity of runs of words.
 
     The distance of the fingerprints of distinct shingles estimates the similarity, with a standard error that 64 * n_words bits make small.
-    Pairs up to ERRORS errors beyond the threshold are candidates, nearest first, and links only if the texts' own shingles say so; those
-    beyond are none. A class first asks about its nearest pair with each of the `asked` nearest other classes;
-    top nodes where pairs were left out are searched again, with the classes found so far joined and the refuted pairs set aside; after rounds in which
-    most pairs were refuted, 4 or (after over 95 %) 16 times as many classes, and pairs of each two, are asked. The rounds end when every candidate has been verified or
-    joins rows that are linked by others. The first masks go before the others, so that what they join is not asked about again in every table.
+    Pairs up to ERRORS errors beyond the threshold are candidates, and links only if the texts' own shingles say so; those beyond are none.
+    A class first asks about its nearest pair with each of the `asked` nearest other classes. The rows of the pairs left out, where these still
+    join different classes, then meet again in their cells together with their sets, where every pair is verified, the nearest first, unless links
+    found there join it already: no pair leaves its task. The first masks go before the others, so that what they join is not asked about again in every table.
     Masks are sampled so that a pair at the threshold is met with probability `recall`, nearer ones oftener. Equal fingerprints are one node.
     Null, empty and blank texts are copies of one another; texts of fewer words than a shingle have one shingle, all their words; very long texts
     are read whole; rows that repeat an id are one node each and get the class of all of them. An empty table gives no rows; other columns are not read.
@@ -490,31 +518,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         masks = sampled_masks(reps.count(), n_words, middle, recall)
         classes = reps.withColumn("c", F.col("id"))
         for first, end in zip(steps := [0, *FIRST_TABLES, len(masks)], steps[1:], strict=False):
-            only = refuted = None
-            now, per = asked, 1
-            while True:
-
-                def work(batches: Iterable[pa.RecordBatch], now: int = now, per: int = per) -> Iterator[pa.RecordBatch]:
-                    return per_key(batches, CELL, lambda table: _graded_within(table, CELL, names, masks, wide, now, per))
-
-                found = saved(_dealt(classes, masks[:end], most, first, only, refuted).mapInArrow(work, "a long, b long, kind int, " + CELL_TYPES))
-                pairs = found.where(F.col("kind") == ASK).select("a", "b", *CELL)
-                n, alike, similar = pairs.count(), 0, pairs.select("a", "b")
-                if n:
-                    similar = saved(verified(pairs, docs, id_col, text_col, shingle, similarity))
-                    alike = similar.count()
-                if alike:
-                    class_of = classes.select(F.col("id").alias("node"), F.col("c").alias("of"))
-                    left = similar.join(class_of, F.col("a") == F.col("node")).select(F.col("of").alias("a"), "b")
-                    joined = connected_components(left.join(class_of, F.col("b") == F.col("node")).select("a", F.col("of").alias("b")))
-                    classes = saved(classes.join(joined, F.col("c") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "c").alias("c")))
-                only = saved(found.where(F.col("kind") == MORE).select("t", "v").distinct())
-                if only.isEmpty():
-                    break
-                failed = pairs.join(similar, ["a", "b"], "left_anti").select("a", "b", *CELL)
-                refuted = saved((failed if refuted is None else failed.unionByName(refuted)).join(only, ["t", "v"], "left_semi"))
-                more = 1 if 2 * alike >= n else 4 if 20 * alike >= n else 16
-                now, per = more * now, more * per
+            upto = masks[:end]
+
+            def nearest(batches: Iterable[pa.RecordBatch], upto: list = upto) -> Iterator[pa.RecordBatch]:
+                return per_key(batches, CELL, lambda table: _graded_within(table, names, upto, wide, asked))
+
+            def rest(batches: Iterable[pa.RecordBatch], upto: list = upto) -> Iterator[pa.RecordBatch]:
+                return per_key(batches, CELL, lambda table: _linked_within(table, names, upto, wide, similarity))
+
+            found = saved(_dealt(classes, upto, most, first).mapInArrow(nearest, "a long, b long, kind int, " + CELL_TYPES))
+            pairs = found.where(F.col("kind") == ASK).select("a", "b", *CELL)
+            if not pairs.isEmpty():
+                classes = _class_joined(classes, saved(verified(pairs, docs, id_col, text_col, shingle, similarity)))
+            more = found.where(F.col("kind") == MORE).select(F.col("a").alias("id"), F.col("b").cast("int").alias("own"), *CELL)
+            apart = Window.partitionBy(*CELL)
+            more = more.join(classes, "id").withColumn("apart", F.min("c").over(apart) < F.max("c").over(apart)).where("apart").drop("apart")
+            more = saved(more)
+            if not more.isEmpty():
+                links = _with_sets(more, more.select("id", *CELL), docs, id_col, text_col, shingle).mapInArrow(rest, "a long, b long")
+                classes = _class_joined(classes, saved(links))
         return kept(prints.join(classes.select(*names, F.col("c").alias("component_id")), names).select("id", "component_id"))
 
 
