@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 
 import corpus_pipeline
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chats, embeddings, linededup, packing, quality, sharding, simhash, toxicity, warc
+from ledgerlark.llm import bestfit, bpe, chats, clustering, embeddings, linededup, manifest, packing, quality, sharding, simhash, toxicity, warc
 from ledgerlark.llm.common import shared_dir
 
 QUERIES: dict = {}
@@ -209,6 +210,110 @@ FROM found
 """
 
 
+@_query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and the roots that tampered texts would give."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(tampered, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+
+    def told(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("folded_root", manifest.folded(F.coalesce("changed_leaf", "leaf"), F.col("path")))
+        proof = F.sha2(manifest.proof(F.col("path")).cast("binary"), 256)
+        return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+    return manifest.manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], told, changed={"text": text})
+
+
+def _leaf_sql(text: str) -> str:
+    parts = (f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+def _trie_sql(name: str, key: str, levels: int) -> str:
+    """Levels of 16 children a node for each key, from name0 (key, i, h); a level of one node stays as it is. name{k}r holds the runs."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}{k}c AS (SELECT {key} AS key, count(*) AS n FROM {name}{k} GROUP BY 1)")
+        out.append(f"{name}{k}r AS (SELECT t.{key} AS key, i // 16 AS j, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {name}{k} t JOIN {name}{k}c c ON c.key IS NOT DISTINCT FROM t.{key} GROUP BY 1, 2)")
+        out.append(f"{name}{k + 1} AS (SELECT key AS {key}, j AS i, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}{k}r)")
+    return ",\n".join(out)
+
+
+def _fold_sql(name: str, key: str, rank: str, levels: int, table: str) -> str:
+    """table with what stands left and right of its row's way on each level, folded onto acc and gathered in proof."""
+    last = table
+    out = []
+    for k in range(levels):
+        at = f"(t.{rank} // {16**k})"
+        left, right = (f"CASE WHEN r.n > 1 THEN array_to_string(r.hs[{x}], '') ELSE '' END" for x in (f"1:{at} % 16", f"{at} % 16 + 2:"))
+        out.append(f"""{table}_{name}{k} AS (
+  SELECT t.* EXCLUDE (acc, proof), CASE WHEN r.n > 1 THEN sha256({left} || acc || {right}) ELSE acc END AS acc, proof || {left} || {right} AS proof
+  FROM {last} t JOIN {name}{k}r r ON r.key IS NOT DISTINCT FROM t.{key} AND r.j = {at} // 16)""")
+        last = f"{table}_{name}{k}"
+    return ",\n".join(out)
+
+
+_CRC = "xor(4294967295, list_reduce([ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')], lambda c, b: list_reduce(range(8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295::BIGINT))"
+ORACLES["op11_manifest"] = f"""
+WITH d AS (
+  SELECT doc_id, source, {_leaf_sql('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql('text')} END AS other
+  FROM documents),
+docs AS (SELECT *, other AS acc, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, 0 AS one FROM d),
+s0 AS (SELECT source, i, leaf AS h FROM docs),
+{_trie_sql('s', 'source', 5)},
+g0 AS (SELECT 0 AS one, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h, source FROM s5),
+{_trie_sql('g', 'one', 3)},
+{_fold_sql('s', 'source', 'i', 5, 'docs')},
+tops AS (SELECT t.*, g.i AS gi, g.h AS subroot FROM docs_s4 t JOIN g0 g ON g.source IS NOT DISTINCT FROM t.source),
+{_fold_sql('g', 'one', 'gi', 3, 'tops')}
+SELECT doc_id, leaf, subroot, g3.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = g3.h AS verified FROM tops_g2, g3
+"""
+
+
+@_query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 components after ten rounds."""
+    return clustering.clustered(_table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments a{t} (vec_id, q, k, d) and centroids c{t} (k, q) of each round; sums of whole numbers this small are exact in doubles."""
+    dot = lambda x, y: f"list_dot_product({x}, {y})"
+    out = []
+    for t in range(rounds + 1):
+        out.append(f"""a{t} AS (
+  SELECT r, vec_id, q, k, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, k) AS place
+    FROM (SELECT v.*, c.k, {dot('v.q', 'v.q')} - 2 * {dot('v.q', 'c.q')} + {dot('c.q', 'c.q')} AS d FROM v CROSS JOIN c{t} c))
+  WHERE place = 1)""")
+        if t < rounds:
+            out.append(f"""c{t + 1} AS (
+  SELECT c.k, coalesce(n.q, c.q) AS q FROM c{t} c LEFT JOIN (
+    SELECT k, list(x ORDER BY i) AS q FROM (
+      SELECT k, i, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{t}) GROUP BY k, i)
+    GROUP BY k) n ON n.k = c.k)""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_centroids"] = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS k, q FROM v QUALIFY k < 8),
+{_rounds_sql(10)}
+SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.q, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a10 a JOIN c10 c ON c.k = a.k
+"""
+
+
+@_query
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whole where 1024 ids hold them, in few sequences."""
+    columns = ["doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "sequence_id", "offset"]
+    return bestfit.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2, then=lambda pieces: pieces.select(*columns))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents; the ids stay behind, with their checksum."""
