@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
+from ledgerlark.operators import matching
+from ledgerlark.tables import saved, scratch
 
 # Companies covered from the start, years, types and topics of questions, and phrases for topics.
 COMPANIES = [
@@ -69,24 +71,30 @@ def validated(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def resolved(mentions: DataFrame, registry: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(mention_id, mention, ticker, title, tier) of each mention: a known company's ticker (0), a registry ticker (1), a title that holds
-    the mention or is held by it (2), the same without spaces (3); of several the shortest title, then the first in order.
-
-    Exact tiers are equi joins; only what they leave is compared with titles, on sides that hold names alone.
-    Mentions and titles without letters or digits match nothing. registry: ticker, title, ord."""
-    asked = mentions.withColumn("name", X.normal_name("mention")).withColumn("key", F.upper(F.trim("mention")))
-    exact = [(registry.select(F.upper("ticker").alias("key"), "ticker", "title", "ord"), 1)]
-    if known is not None:
-        exact.insert(0, (known.select(F.upper("ticker").alias("key"), "ticker", F.col("name").alias("title"), F.lit(0).alias("ord")), 0))
-    hits = reduce(DataFrame.unionByName, (asked.join(x, "key").select("mention_id", "ticker", "title", "ord", F.lit(t).alias("tier")) for x, t in exact))
-    titles = registry.withColumn("norm", X.normal_name("title")).where("norm <> ''")
-    left = asked.join(hits.select("mention_id").distinct(), "mention_id", "left_anti").where("name <> ''").select("mention_id", "name", F.replace("name", F.lit(" "), F.lit("")).alias("tight"))
-    both = lambda a, b: F.contains(a, b) | F.contains(b, a)
-    tight = F.replace(F.col("norm"), F.lit(" "), F.lit(""))
-    near = left.join(titles, both(F.col("name"), F.col("norm")) | both(F.col("tight"), tight)).select("mention_id", "ticker", "title", "ord", F.when(both(F.col("name"), F.col("norm")), 2).otherwise(3).alias("tier"))
-    place = F.row_number().over(W.partitionBy("mention_id").orderBy("tier", F.length("title"), "ord"))
-    best = hits.unionByName(near).withColumn("place", place).where("place = 1")
-    return mentions.join(best.select("mention_id", "ticker", "title", "tier"), "mention_id", "left")
+    """(mention_id, mention, ticker, title, tier) of each mention, as a table: a known company's ticker (0), a registry ticker (1), a title
+    that holds the mention or is held by it (2), the same without spaces (3); of several the shortest title, then the first in order.
+
+    Exact tiers are equi joins. What they leave is matched by distinct names and titles without spaces: the rarest run of four
+    characters gives the candidates, shorter names are looked up whole, and all are checked exactly. Equal mentions are matched once, and of titles
+    with one normal form the shortest and first stands for all. Mentions and titles without letters or digits, or null,
+    match nothing; rows that repeat an id are answered each. registry: ticker, title, ord."""
+    with scratch(mentions.sparkSession) as kept:
+        asked = mentions.select("mention_id", "mention", X.normal_name("mention").alias("name"), F.upper(F.trim("mention")).alias("key"))
+        exact = [(registry.select(F.upper("ticker").alias("key"), "ticker", "title", "ord"), 1)]
+        if known is not None:
+            exact.insert(0, (known.select(F.upper("ticker").alias("key"), "ticker", F.col("name").alias("title"), F.lit(0).alias("ord")), 0))
+        best = lambda tier: F.min(F.struct(tier.alias("tier"), F.length("title").alias("long"), "ord", "ticker", F.col("title").alias("said"))).alias("best")
+        keys = asked.select("key").distinct()
+        hits = reduce(DataFrame.unionByName, (keys.join(x, "key").select("key", "ticker", "title", "ord", F.lit(t).alias("tier")) for x, t in exact))
+        hits = saved(hits.groupBy("key").agg(best(F.col("tier"))))
+        norms = registry.withColumn("norm", X.normal_name("title")).where("norm <> ''").groupBy("norm").agg(F.min(F.struct(F.length("title").alias("long"), "ord", "ticker", "title")).alias("of"))
+        norms = saved(norms.select("norm", "of.ord", "of.ticker", "of.title"))
+        names = saved(asked.join(hits, "key", "left_anti").where("name <> ''").select("name").distinct())
+        pairs = matching.either_way(names, norms.select(F.col("norm").alias("title")), lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))).withColumnRenamed("title", "norm")
+        tier = F.when(F.contains("name", "norm") | F.contains("norm", "name"), 2).otherwise(3)
+        near = saved(pairs.withColumn("tier", tier).join(norms, "norm").groupBy("name").agg(best(F.col("tier"))))
+        told = asked.join(hits, "key", "left").join(near.withColumnRenamed("best", "near"), "name", "left").withColumn("best", F.coalesce("best", "near"))
+        return kept(told.select("mention_id", "mention", "best.ticker", F.col("best.said").alias("title"), "best.tier"))
 
 
 def by_year(questions: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
-from ledgerlark.operators import chunking, evaluation, indexing, parsing, retrieval
+from ledgerlark.operators import chunking, evaluation, indexing, matching, parsing, retrieval
 from ledgerlark.plans import fixtures as fx
 from ledgerlark.plans.registry import query
 from ledgerlark.plans.retrieval_queries import ROWS_SQL, statement_rows
@@ -164,5 +164,6 @@ def eval_context_recall(spark, sf_dir):
 
 @query("eval_containment", "SELECT item_id, count(doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def eval_containment(spark, sf_dir):
-    b, d = fx.table(spark, sf_dir, "benchmark"), fx.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc"))
-    return b.join(d, F.contains("doc", "text"), "left").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"))
+    items = fx.table(spark, sf_dir, "benchmark")
+    found = matching.containing(items, fx.table(spark, sf_dir, "documents"))
+    return items.select("item_id").join(found, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"))
