@@ -20,6 +20,12 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], load_order: str |
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
+def latest(log: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The last row of each key in a log that is only appended to."""
+    rows = log.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in log.columns if c not in keys)), at).alias("_row"))
+    return rows.select(*keys, "_row.*").select(*log.columns)
+
+
 def remaining(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What no output exists for yet."""
     return wanted.join(done.select(*keys), keys, "left_anti")
@@ -49,11 +55,19 @@ def stale(indexed: DataFrame, access: DataFrame, bundled: DataFrame, now: Column
 
 
 def not_cached(requests: DataFrame, failures: DataFrame, keys: list[str], seconds: int = FAILURE_SECONDS) -> DataFrame:
-    """Requests (keys, ts) that no failure (keys, ts) of the last `seconds` before forbids."""
-    last = failures.select(*keys, F.col("ts").alias("failed"))
-    hit = (F.col("failed") <= F.col("ts")) & (F.col("failed") > F.col("ts") - F.make_dt_interval(secs=F.lit(seconds)))
-    on = reduce(lambda x, y: x & y, (requests[k] == last[k] for k in keys))
-    return requests.join(last, on & hit, "left_anti")
+    """Requests (keys, ts) that no failure (keys, ts) of the last `seconds` before, or at the same time, forbids.
+
+    The last failure before a request is a running maximum over both, so that a request never meets all failures of its key. Null keys
+    and times were never cached."""
+    free = [c for c in requests.columns if c not in {*keys, "ts"}]
+    no_row = F.lit(None).cast(requests.select(F.struct(*free) if free else F.struct(F.lit(0))).schema[0].dataType)
+    asked = requests.select(*keys, "ts", F.lit(1).alias("_kind"), (F.struct(*free) if free else F.struct(F.lit(0))).alias("_row"))
+    failed = failures.where("ts is not null").dropDuplicates([*keys, "ts"]).select(*keys, "ts", F.lit(0).alias("_kind"), no_row.alias("_row"))
+    last = F.max(F.when(F.col("_kind") == 0, F.col("ts"))).over(W.partitionBy(*keys).orderBy("ts", "_kind").rowsBetween(W.unboundedPreceding, 0))
+    rows = asked.unionByName(failed).withColumn("_last", last).where("_kind = 1")
+    unknown = reduce(lambda x, y: x | y, (F.col(k).isNull() for k in keys))
+    recent = F.coalesce(F.col("_last") > F.col("ts") - F.make_dt_interval(secs=F.lit(seconds)), F.lit(False)) & ~unknown
+    return rows.where(~recent).select(*[F.col(c) if c in {*keys, "ts"} else F.col(f"_row.{c}").alias(c) for c in requests.columns])
 
 
 def copy_plan(local: DataFrame, remote: DataFrame, key: str = "collection") -> DataFrame:

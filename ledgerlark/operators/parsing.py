@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from html.parser import HTMLParser
 
@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
+from ledgerlark.tables import saved, scratch
 
 # Heading patterns, in the order in which they are tried, with ids and titles.
 DASH = r"[\.\s:—–-]*"
@@ -127,10 +128,10 @@ def headed(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     return rows.withColumn("met", F.when(sentinel, named).otherwise(F.get(found, F.lit(0)))).withColumn("sentinel", sentinel).drop("next")
 
 
-def candidates(lines: DataFrame, doc: str = "doc_id", first: float = 0.15, last: float = 0.97) -> DataFrame:
-    """(doc, n_lines, i, section_id, title, width, sentinel) of lines that head a section, between 15 and 97 % of the lines."""
+def candidates(lines: DataFrame, doc: str = "doc_id", first: float = 0.15, last: float = 0.97, met: DataFrame | None = None) -> DataFrame:
+    """(doc, n_lines, i, section_id, title, width, sentinel) of lines that head a section, between 15 and 97 % of the lines. met: headed(lines), if at hand."""
     window = F.col("i").between(F.floor(F.col("n_lines") * first), F.floor(F.col("n_lines") * last)) & (F.length("line").between(1, 250))
-    return headed(lines, doc).where(window).where("met is not null").select(doc, "n_lines", "i", "met.*", F.length("line").alias("width"), "sentinel")
+    return (headed(lines, doc) if met is None else met).where(window).where("met is not null").select(doc, "n_lines", "i", "met.*", F.length("line").alias("width"), "sentinel")
 
 
 def selected(found: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -166,9 +167,9 @@ def recovered(lines: DataFrame, chosen: DataFrame, doc: str = "doc_id", least: i
     return first.join(chosen.select(doc, "section_id"), [doc, "section_id"], "left_anti")
 
 
-def early_business(lines: DataFrame, chosen: DataFrame, doc: str = "doc_id", first: float = 0.15) -> DataFrame:
+def early_business(lines: DataFrame, chosen: DataFrame, doc: str = "doc_id", first: float = 0.15, met: DataFrame | None = None) -> DataFrame:
     """Item 1 where it stands before the window of candidates(): the last line there that heads it."""
-    early = headed(lines, doc).where((F.col("i") < F.floor(F.col("n_lines") * first)) & (F.length("line") <= 250)).where("met.section_id = 'item_1_business'")
+    early = (headed(lines, doc) if met is None else met).where((F.col("i") < F.floor(F.col("n_lines") * first)) & (F.length("line") <= 250)).where("met.section_id = 'item_1_business'")
     last = early.groupBy(doc).agg(F.max_by(F.struct("n_lines", "i", "met.title"), "i").alias("best")).select(doc, F.lit("item_1_business").alias("section_id"), "best.*")
     return last.join(chosen.where("section_id = 'item_1_business'").select(doc), doc, "left_anti")
 
@@ -331,24 +332,113 @@ def parsed_tables(html: str | None, start: int = 0) -> tuple[str, list[tuple[int
     return re.sub(r"\n{4,}", "\n\n\n", text), kept
 
 
-def extract_tables(pages: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
-    """(doc, text, tables array<struct<idx, markdown, rows>>) of each page. Python, in Arrow batches: tables need a parser."""
-    kind = pages.schema[doc].dataType.simpleString()
-    schema = f"{doc} {kind}, text string, tables array<struct<idx:int,markdown:string,rows:array<array<string>>>>"
+def extract_tables(pages: DataFrame, doc: str = "doc_id", html: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, also, text, tables array<struct<idx, markdown, rows>>, error) of each page. Python, in Arrow batches: tables need a parser.
+
+    A page that the parser fails on has an error and no text; the others of its batch are not touched by it."""
+    kept = [doc, *also]
+    kinds = dict(pages.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", text string, tables array<struct<idx:int,markdown:string,rows:array<array<string>>>>, error string"
 
     def work(batches) -> Iterator:
         import pandas as pd
 
+        def one(page: str | None) -> tuple[str | None, list, str | None]:
+            try:
+                text, tables = parsed_tables(page)
+                return text, [{"idx": i, "markdown": m, "rows": r} for i, m, r in tables], None
+            except Exception as e:
+                return None, [], f"{type(e).__name__}: {e}"[:500]
+
         for frame in batches:
-            found = [parsed_tables(h) for h in frame[html]]
-            yield pd.DataFrame({doc: frame[doc], "text": [t for t, _ in found], "tables": [[{"idx": i, "markdown": m, "rows": r} for i, m, r in own] for _, own in found]})
+            found = [one(h) for h in frame[html]]
+            yield pd.DataFrame({c: frame[c] for c in kept} | {"text": [t for t, _, _ in found], "tables": [t for _, t, _ in found], "error": [e for _, _, e in found]})
+
+    return pages.select(*kept, html).mapInPandas(work, schema)
+
 
-    return pages.select(doc, html).mapInPandas(work, schema)
+def numbered_through(parts: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """parts (doc, part, text, tables) with tables and their placeholders numbered on from those of the parts before."""
+    first = F.coalesce(F.sum(F.size("tables")).over(W.partitionBy(doc).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    rows = parts.withColumn("first", first)
+    bits = F.split(F.regexp_replace("text", r"<<<TABLE_(\d+)>>>", "\x01\x02$1\x01"), "\x01")
+    shifted = F.transform(bits, lambda b: F.when(F.startswith(b, F.lit("\x02")), F.concat(F.lit("<<<TABLE_"), (F.substr(b, F.lit(2)).cast("int") + F.col("first")).cast("string"), F.lit(">>>"))).otherwise(b))
+    moved = F.transform("tables", lambda t: F.struct((t["idx"] + F.col("first")).alias("idx"), t["markdown"].alias("markdown"), t["rows"].alias("rows")))
+    return rows.withColumn("text", F.array_join(shifted, "")).withColumn("tables", moved).drop("first")
 
 
-def sections_of(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sections of plain documents: candidates, selection, order, both recoveries, numbering and slices."""
-    lines = lines_of(docs.select(doc, text), text)
-    chosen = monotonic(selected(candidates(lines, doc), doc), doc)
-    chosen = chosen.unionByName(recovered(lines, chosen, doc)).unionByName(early_business(lines, chosen, doc))
+def headings_of(lines: DataFrame, doc: str = "doc_id", recover: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """(doc, section_id, n_lines, i, title), as a table: candidates, selection and order, and what the recoveries add. recover gets the lines, what
+    is found so far and the name of doc, and returns further rows; none by default. Lines meet the patterns once; what heads something is written."""
+    with scratch(lines.sparkSession) as kept:
+        met = saved(headed(lines, doc).where("met is not null"))
+        chosen = saved(monotonic(selected(candidates(lines, doc, met=met), doc), doc))
+        chosen = saved(chosen.unionByName(recovered(lines, chosen, doc)))
+        if recover is not None:
+            chosen = saved(chosen.unionByName(recover(lines, chosen, doc)))
+        return kept(chosen.unionByName(early_business(lines, chosen, doc, met=met)))
+
+
+def sections_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", recover=None) -> DataFrame:
+    """Sections of plain documents: headings, numbering and slices."""
+    chosen = headings_of(lines_of(docs.select(doc, text), text), doc, recover)
     return slices(numbered(chosen, doc), docs, doc, text)
+
+
+def sections_of_parts(parts: DataFrame, doc: str = "doc_id", recover=None) -> DataFrame:
+    """Sections of filings whose embedded documents are rows (doc, part, text).
+
+    Headings are looked for in each part by itself, within its own window of lines and its own order of items, so that a wrapper's late items do
+    not bar the sections of an exhibit. Ids that recur in a filing are numbered, and a section ends where the filing's next one begins, in
+    whatever part; a filing without any heading is one section. Null texts have no lines but one empty one."""
+    piece = F.concat_ws("|", F.col(doc).cast("string"), F.col("part").cast("string"))
+    rows = parts.select(doc, "part", piece.alias("piece"), X.text_of("text").alias("text"))
+    chosen = headings_of(lines_of(rows.select("piece", "text")), "piece", recover)
+    long = rows.select(doc, "part", "piece", F.size(F.split("text", "\n")).alias("long"))
+    before = F.coalesce(F.sum("long").over(W.partitionBy(doc).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = chosen.join(long.withColumn("before", before).select(doc, "piece", "before"), "piece").select(doc, "section_id", "title", (F.col("i") + F.col("before")).cast("int").alias("i"))
+    whole = rows.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return slices(numbered(found, doc), whole, doc)
+
+
+#: Pages that a model is asked about, their lines, and the statement that it is not asked for.
+PAGES, PAGE_LINES, NOT_ASKED = 15, 100, "fs_equity"
+
+
+def by_model(ask: Callable[[list[str], list[list[str]]], list[dict[str, str]]]) -> Callable[[DataFrame, DataFrame, str], DataFrame]:
+    """A recovery for headings_of(): a model is shown the pages of documents that lack statements.
+
+    ask gets the texts of pages (of 100 lines, at most 15 of a document, from where candidates begin) and, for each, the ids looked for, and returns for each
+    a heading by id, as it stands in the page. A reply counts where a line of that page holds it; of several the first
+    line. Statements of equity are not asked for. A model that fails on a batch finds nothing in it."""
+    titles = {s: t for _, s, t in reversed(STATEMENTS) if s != NOT_ASKED}
+
+    def recover(lines: DataFrame, chosen: DataFrame, doc: str) -> DataFrame:
+        every = F.array(*(F.lit(s) for s in sorted(titles)))
+        have = chosen.groupBy(doc).agg(F.collect_set("section_id").alias("have"))
+        kind = lines.schema[doc].dataType.simpleString()
+        first = F.floor(F.col("n_lines") * 0.15).cast("int")
+        page = lines.withColumn("page", F.floor((F.col("i") - first) / PAGE_LINES).cast("int")).where(F.col("page").between(0, PAGES - 1))
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+        pages = page.groupBy(doc, "page").agg(text.alias("text"), F.max("n_lines").alias("n_lines")).join(have, doc, "left")
+        pages = pages.withColumn("missing", F.array_except(every, F.coalesce("have", F.array().cast("array<string>")))).where(F.size("missing") > 0)
+
+        def work(batches) -> Iterator:
+            import pandas as pd
+
+            for frame in batches:
+                wanted = [list(m) for m in frame["missing"]]
+                try:
+                    told = ask(frame["text"].tolist(), wanted)
+                except Exception:
+                    told = [{}] * len(frame)
+                out = [(d, p, s, h) for d, p, w, own in zip(frame[doc], frame["page"], wanted, told, strict=True) for s, h in own.items() if s in w and h and h.strip()]
+                yield pd.DataFrame(out, columns=[doc, "page", "section_id", "heading"])
+
+        found = pages.select(doc, "page", "text", "missing").mapInPandas(work, f"`{doc}` {kind}, page int, section_id string, heading string")
+        met = page.join(found, [doc, "page"]).where(F.contains(F.lower("line"), F.lower(F.trim("heading"))))
+        title = F.element_at(F.create_map(*(F.lit(x) for kv in titles.items() for x in kv)), F.col("section_id"))
+        first_line = met.groupBy(doc, "section_id").agg(F.min_by(F.struct("n_lines", "i"), "i").alias("best"))
+        return first_line.select(doc, "section_id", "best.*", title.alias("title"))
+
+    return recover

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import text as X
 from ledgerlark.operators import chunking, context, evaluation, lifecycle, parsing, retrieval, routing, sessions
 from ledgerlark.plans import fixtures as fx
-from ledgerlark.plans.document_queries import FILINGS_SQL, RUNS, TERMS, _sha, eval_runs, filing_lines
+from ledgerlark.plans.document_queries import FILINGS_SQL, NAMES, RUNS, TERMS, _sha, eval_runs, filing_lines
 from ledgerlark.plans.registry import query
 from ledgerlark.plans.retrieval_queries import BM25, PASSES, ROWS_SQL, _terms, statement_rows
 from ledgerlark.plans.state_queries import SESSIONS_SQL, sessions_of, turns_of
@@ -60,6 +60,34 @@ def statement_recovery(spark, sf_dir):
     return parsing.recovered(lines, chosen, least=3).select("doc_id", "section_id", "i")
 
 
+# Two documents to a filing, each with headings of its own in the place of every fifth line.
+PLANTED = f"CASE WHEN (doc_id + i) % 5 = 0 THEN {fx.sql_list(NAMES)}[(doc_id * 7 + i * 3) % {len(NAMES)} + 1] ELSE ls[i] END"
+
+
+@query("exhibit_sections", f"""WITH documents AS (SELECT 2 * doc_id + part AS doc_id, text FROM documents, (VALUES (0), (1)) AS v(part)), {FILINGS_SQL.strip()},
+bound AS (SELECT doc_id, i AS start, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), n_lines) AS stop FROM mono),
+t AS (SELECT doc_id, i, CASE {" ".join("WHEN regexp_matches(lower(line), '" + p + "') THEN '" + s + "'" for p, s, _ in parsing.STATEMENTS)} END AS section_id FROM lines WHERE len(line) BETWEEN 1 AND 120),
+rec AS (SELECT t.doc_id, t.section_id, min(t.i) AS i FROM t JOIN bound b ON b.doc_id = t.doc_id AND t.i > b.start AND t.i < b.stop WHERE b.stop - b.start >= 1000 AND t.section_id IS NOT NULL GROUP BY ALL),
+e AS (SELECT doc_id, max(i) AS i FROM met WHERE m.section_id = 'item_1_business' AND i < floor(n_lines * 0.15) AND len(line) <= 250 GROUP BY doc_id),
+every AS (
+  SELECT doc_id, section_id, i FROM mono UNION ALL SELECT * FROM rec WHERE (doc_id, section_id) NOT IN (SELECT (doc_id, section_id) FROM mono)
+  UNION ALL SELECT doc_id, 'item_1_business', i FROM e WHERE doc_id NOT IN (SELECT doc_id FROM mono WHERE section_id = 'item_1_business')),
+own AS (SELECT doc_id, list({PLANTED} ORDER BY i) AS ls FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) GROUP BY doc_id),
+pair AS (SELECT a.doc_id // 2 AS doc, list_concat(a.ls, b.ls) AS ls, len(a.ls) AS first FROM own a JOIN own b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0),
+placed AS (SELECT doc, section_id, i + CASE WHEN doc_id % 2 = 1 THEN first ELSE 0 END AS i, ls FROM every JOIN pair ON doc = doc_id // 2),
+num AS (SELECT *, row_number() OVER (PARTITION BY doc, section_id ORDER BY i) AS n, lead(i) OVER (PARTITION BY doc ORDER BY i) AS stop, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS section_order FROM placed),
+b AS (
+  SELECT doc AS doc_id, section_id || CASE WHEN n > 1 THEN '__' || n ELSE '' END AS section_id, section_order, array_to_string(list_slice(ls, i + 2, coalesce(stop, len(ls))), chr(10)) AS body FROM num
+  UNION ALL SELECT doc, 'full_document', 0, array_to_string(ls, chr(10)) FROM pair WHERE doc NOT IN (SELECT doc FROM placed))
+SELECT doc_id, section_id, CAST(section_order AS INTEGER) AS section_order, md5(body) AS body_md5 FROM b WHERE regexp_matches(body, '\\S')""")
+def exhibit_sections(spark, sf_dir):
+    piece = F.col("doc_id") * 2 + F.col("part")
+    name = lambda i: F.element_at(F.array(*map(F.lit, NAMES)), ((piece * 7 + i * 3) % len(NAMES) + 1).cast("int"))
+    lines = F.transform(F.split("text", "\n"), lambda x, k: F.when((piece + k + 1) % 5 == 0, name(k + 1)).otherwise(x))
+    parts = fx.table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("part")).select("doc_id", "part", F.array_join(lines, "\n").alias("text"))
+    return parsing.sections_of_parts(parts).select("doc_id", "section_id", "section_order", _sha(F.col("body")).alias("body_md5"))
+
+
 @query("chunk_types", f"WITH {fx.CHUNKS_SQL} SELECT source, count(*) FILTER (WHERE chunk_type = 'table') AS tables, count(*) FILTER (WHERE chunk_type = 'text') AS texts FROM chunks GROUP BY source")
 def chunk_types(spark, sf_dir):
     return fx.chunks(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("chunk_type") == "table").alias("tables"), F.count_if(F.col("chunk_type") == "text").alias("texts"))

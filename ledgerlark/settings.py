@@ -11,6 +11,7 @@ class Settings:
     """A field is read from the variable LEDGERLARK_<NAME>; blanks around values go, empty ones count as unset."""
 
     raw_dir: str = "data/raw"
+    parsed_dir: str = "data/parsed"
     index_dir: str = "data/index"
     filing_type: str = "10-K"
     max_chunk_tokens: int = 1000
