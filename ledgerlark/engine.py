@@ -9,52 +9,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
-from ledgerlark.operators import context, retrieval, routing
+from ledgerlark.operators import answering, context, retrieval, routing, sessions
 from ledgerlark.operators.indexing import hashed
+from ledgerlark.tables import saved, scratch
+
+LISTS = ["failed_lookups", "ingest_failed", "year_not_available"]
 
 
 @dataclass
 class Engine:
     """chunks: chunk_id, text, company, ticker, fiscal_year, section_id, section_name, chunk_type, position; vectors: chunk_id, dense;
-    parents: ticker, fiscal_year, section_id, parent_text. Every plug-in has a default that needs no model."""
+    parents: ticker, fiscal_year, section_id, parent_text; companies: ticker, name, sector; registry: ticker, title, ord. Every plug-in
+    has a default that needs no model.
+
+    classify: questions and companies to types, tickers, years, focus and unresolved names. decompose: questions over several companies
+    or years to sub-questions (query_id, ord, question, ticker, year). answer: sources to (query_id, answer). write: see
+    answering.synthesised(). fetch: see routing.ensured()."""
 
     chunks: DataFrame
     vectors: DataFrame
     parents: DataFrame
     companies: DataFrame
+    registry: DataFrame | None = None
     classify: Callable[[DataFrame, DataFrame], DataFrame] = routing.classified
     encode: Callable[[DataFrame, str], DataFrame] = hashed
     rerank: Callable[[str, str], Column] = retrieval.overlap_score
+    decompose: Callable[[DataFrame, DataFrame], DataFrame] = routing.decomposed
     answer: Callable[[DataFrame], DataFrame] = context.extracted
+    write: Callable[[DataFrame], DataFrame] | None = None
+    fetch: Callable[[DataFrame], DataFrame] | None = None
     keys: list[str] = field(default_factory=lambda: ["ticker", "fiscal_year"])
 
-    def retrieve(self, asked: DataFrame) -> DataFrame:
-        """Results of sub-questions (query_id, question, ticker, year, focus, k): each searches its own company and year."""
+    def retrieve(self, asked: DataFrame, targets: DataFrame) -> DataFrame:
+        """Results of questions (query_id, question, focus, k), each in its own collections alone (query_id, ticker, fiscal_year)."""
         rows = self.encode(asked, "question")
-        targets = asked.select("query_id", F.col("ticker").alias("t"), F.col("year").alias("y"))
-        wanted = (F.col("ticker") == F.col("t")) & (F.col("y").isNull() | (F.col("fiscal_year") == F.col("y")))
-        scope = self.chunks.join(targets.select("t", "y").distinct(), wanted, "left_semi")  # collections nobody asks about are not searched
-        found = retrieval.passes(scope, self.vectors, rows, self.keys).join(targets, "query_id")
-        found = found.where((F.col("t").isNull() | (F.col("t") == F.col("ticker"))) & (F.col("y").isNull() | (F.col("y") == F.col("fiscal_year")))).select("query_id", "chunk_id", "score")
-        met = retrieval.candidates(found).select("query_id", "chunk_id").join(scope, "chunk_id").join(rows.select("query_id", "question", "focus", "k"), "query_id")
+        scope = self.chunks.join(targets.select(*self.keys).distinct(), self.keys, "left_semi")  # collections nobody asks about are not searched
+        found = retrieval.candidates(retrieval.passes(scope, self.vectors, rows, self.keys, targets)).select("query_id", "chunk_id")
+        met = found.join(scope, "chunk_id").join(asked.select("query_id", "question", "focus", "k"), "query_id")
         met = met.withColumn("score", F.round(self.rerank("question", "text") + retrieval.boost(), 6))
         kept = retrieval.diverse(met, [*self.keys, "section_name", "chunk_type"], F.col("k"))
         return retrieval.with_parents(kept, self.parents, [*self.keys, "section_id"])
 
-    def ask(self, questions: DataFrame) -> DataFrame:
-        """(query_id, query_type, focus, route, answer, citations, refused) of questions (query_id, question)."""
-        asked = self.classify(questions, self.companies)
-        have = self.chunks.select("ticker", "fiscal_year").distinct()
-        routed = routing.outcomes(asked.withColumn("unresolved", F.array().cast("array<string>")), have)
-        k = retrieval.adaptive_k(F.col("tickers"), F.col("years"))
-        subs = routed.where(F.col("route").isin("single", "synthesis")).select("query_id", "question", "focus", k.alias("k"), F.explode("tickers").alias("ticker"), "years")
-        subs = subs.select("query_id", "question", "focus", "k", "ticker", F.explode_outer("years").alias("year"))
-        subs = subs.withColumn("sub_id", F.concat_ws("|", F.col("query_id").cast("string"), "ticker", F.coalesce(F.col("year").cast("string"), F.lit("-"))))
-        found = self.retrieve(subs.select(F.col("sub_id").alias("query_id"), "question", "focus", "k", "ticker", "year"))
-        merged = found.join(subs.select(F.col("sub_id").alias("query_id"), F.col("query_id").alias("of")), "query_id").drop("query_id").withColumnRenamed("of", "query_id")
-        best = retrieval.top(merged.select("query_id", "chunk_id", "score").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), retrieval.CANDIDATES, ["query_id"])
-        sources = context.contexts(merged.drop("rank", "score").dropDuplicates(["query_id", "chunk_id"]).join(best, ["query_id", "chunk_id"]), [*self.keys, "company", "section_name", "chunk_type"])
-        told = self.answer(sources).join(context.citations(sources), "query_id", "left")
-        fixed = F.when(F.col("route") == "out_of_scope", "This question is outside of what annual reports cover.").when(F.col("route") == "clarification_needed", "Which company do you mean?").otherwise(context.NO_SOURCES)
-        out = routed.select("query_id", "query_type", "focus", "route").join(told, "query_id", "left")
-        return out.withColumn("answer", F.coalesce("answer", fixed)).withColumn("refused", X.is_refusal("answer"))
+    def respond(self, asked: DataFrame, targets: DataFrame) -> DataFrame:
+        """(query_id, answer, citations) of each question; a fixed answer where nothing was found."""
+        sources = saved(context.contexts(self.retrieve(asked, targets), [*self.keys, "company", "section_name", "chunk_type"]))
+        told = asked.select("query_id").join(self.answer(sources).select("query_id", "answer"), "query_id", "left").join(context.citations(sources), "query_id", "left")
+        return told.withColumn("answer", F.when(F.col("citations").isNull(), context.NO_SOURCES).otherwise(F.col("answer")))
+
+    def ask(self, questions: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+        """(query_id, query_type, focus, route, answer, citations, refused, retried, mended and three lists of what failed), as a table, of questions
+        (query_id, question, and session_id where turns are given).
+
+        Companies that a question names are resolved and, where they are not indexed, fetched. A question of one company is answered
+        in its collections, once more and wider if that is refused; one of several companies or years by sub-answers. What
+        could not be found is the answer, or a note beneath it. Earlier turns of a session go before its question."""
+        with scratch(questions.sparkSession) as kept:
+            said = questions if turns is None else sessions.with_history(questions, turns)
+            have = self.chunks.select(*self.keys).distinct()
+            registry = self.registry if self.registry is not None else self.companies.select("ticker", F.col("name").alias("title"), F.lit(0).alias("ord"))
+            routed = saved(routing.ensured(saved(self.classify(said, self.companies)), registry, self.companies, have, self.fetch))
+            named = lambda rows: rows.select("query_id", F.inline("targets")).withColumnRenamed("year", "fiscal_year")
+
+            single = saved(routed.where("route = 'single'").select("query_id", "question", "focus", retrieval.adaptive_k(F.col("tickers"), F.col("years")).alias("k")))
+            places = saved(named(routed.where("route = 'single'")))
+            one = answering.with_retry(single, lambda asked: self.respond(asked, places.join(asked.select("query_id"), "query_id", "left_semi")))
+
+            many = routed.where("route = 'synthesis'")
+            subs = self.decompose(many, self.companies).join(many.select("query_id", "focus"), "query_id")
+            subs = saved(subs.select(F.concat_ws("|", F.col("query_id").cast("string"), F.col("ord").cast("string")).alias("sub_id"), "query_id", "ord", "question", "ticker", "year", "focus"))
+            asked = subs.select(F.col("sub_id").alias("query_id"), "question", "focus", F.lit(3).alias("k"))
+            told = self.respond(asked, subs.select(F.col("sub_id").alias("query_id"), "ticker", F.col("year").alias("fiscal_year")))
+            parts = subs.join(told.withColumnRenamed("query_id", "sub_id"), "sub_id")
+            both = answering.synthesised(many, parts, self.write).select("query_id", "answer", "citations", F.lit(False).alias("retried"), F.lit(False).alias("mended"))
+
+            out = routed.select("query_id", "query_type", "focus", "route", *LISTS).join(one.unionByName(both), "query_id", "left")
+            whole, note = answering.failures()
+            fixed = F.when(F.col("route") == "out_of_scope", answering.OUT_OF_SCOPE).when(F.col("route") == "unresolved_company", whole).otherwise(answering.WHICH_COMPANY)
+            answered = F.col("route").isin("single", "synthesis")
+            out = out.withColumn("refused", answered & X.is_refusal("answer")).withColumn("answer", F.when(answered, F.concat("answer", note)).otherwise(fixed))
+            return kept(out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("retried", "mended")}))

@@ -39,24 +39,28 @@ def pruned(chunks: DataFrame, **targets: list | None) -> DataFrame:
     return reduce(lambda df, kv: df.where(F.col(kv[0]).isin(*kv[1])) if kv[1] else df, targets.items(), chunks)
 
 
-def postings(chunks: DataFrame, only: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """(chunk_id, dl, term, tf): occurrences of each term, of the terms in `only` if given; the length counts all."""
-    rows = chunks.withColumn("terms", X.terms(text)).select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+def postings(chunks: DataFrame, only: DataFrame | None = None, text: str = "text", also: list[str] | None = None) -> DataFrame:
+    """(chunk_id, also, dl, term, tf): occurrences of each term, of the terms in `only` if given; the length counts all."""
+    also = also or []
+    rows = chunks.withColumn("terms", X.terms(text)).select("chunk_id", *also, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     if only is not None:
         rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.groupBy("chunk_id", *also, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text", targets: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, score): Okapi BM25 of each chunk that has a term of the question, with the statistics of
-    the chunks given. Only terms that questions hold are counted and shuffled."""
+    the chunks given. Only terms that questions hold are counted and shuffled. With targets (query_id, keys) a question meets the postings of
+    its own collections alone."""
     asked = queries.select("query_id", F.explode(F.array_distinct(X.terms("question"))).alias("term"))
-    found = postings(chunks, asked, text)
+    found = postings(chunks, asked, text, keys if targets is not None else None)
     lengths = chunks.select(F.regexp_count(F.lower(X.text_of(text)), F.lit(X.TERM)).alias("dl")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).alias("all")).scalar()
     n, mean = lengths["n"], lengths["mean"]
     many = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    if targets is not None:
+        return asked.join(targets.select("query_id", *keys).distinct(), "query_id").join(many, "term").join(found, ["term", *keys]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return asked.join(many, "term").join(found, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
@@ -66,12 +70,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int, keys: list[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(query_id, keys, chunk_id, score, rank): the k vectors (chunk_id, dense, keys) of each collection with the greatest cosine to each
     question's, exactly.
 
     The question set goes to every task, in blocks of at most QUESTION_BYTES, and is scored against a batch of vectors in one product of
-    matrices; a batch gives at most k rows for each question and collection. Vectors that are null, zero, of another length or hold null or
+    matrices; a batch gives at most k rows for each question and collection. With targets (query_id, keys) a question is compared with the
+    vectors of its own collections alone. Vectors that are null, zero, of another length or hold null or
     non-finite components have no score."""
     keys = keys or []
     names = ["chunk_id", *keys]
@@ -83,12 +88,19 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, keys: list[str] | None
     own = vectors.select(*names, F.col("dense").cast("array<double>").alias("dense"))
     lists = []
     for block in range(blocks):
-        told = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-
-        def work(batches: Iterator[pa.RecordBatch], told: pa.Table = told) -> Iterator[pa.RecordBatch]:
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+        told = asked.where(mine).toArrow()
+        places: dict[tuple, list] | None = None
+        if targets is not None:
+            places, at = {}, {q: i for i, q in enumerate(told.column("query_id").to_pylist())}
+            for row in targets.where(mine).select("query_id", *keys).distinct().collect():
+                if row[0] in at:
+                    places.setdefault(tuple(row[1:]), []).append(at[row[0]])
+
+        def work(batches: Iterator[pa.RecordBatch], told: pa.Table = told, places: dict[tuple, list] | None = places) -> Iterator[pa.RecordBatch]:
             questions = _matrices(told)
             for batch in batches:
-                yield from _best(pa.Table.from_batches([batch]), told, questions, names, k)
+                yield from _best(pa.Table.from_batches([batch]), told, questions, names, k, places)
 
         lists.append(own.mapInArrow(work, schema))
     return top(reduce(DataFrame.unionByName, lists), k, ["query_id", *keys])
@@ -109,25 +121,33 @@ def _matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def _best(batch: pa.Table, told: pa.Table, questions: dict[int, tuple[np.ndarray, np.ndarray]], names: list[str], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best rows of a batch for each question and collection; ties by id."""
+def _best(batch: pa.Table, told: pa.Table, questions: dict[int, tuple[np.ndarray, np.ndarray]], names: list[str], k: int, places: dict[tuple, list] | None = None) -> Iterator[pa.RecordBatch]:
+    """The k best rows of a batch for each question and collection; ties by id. places: the questions of each collection, by default all."""
     for dim, (rows, x) in _matrices(batch).items():
         if dim not in questions or not len(rows):
             continue
         asked, q = questions[dim]
         part = batch.select(names).take(pa.array(rows))
         order = pc.sort_indices(part, [("chunk_id", "ascending")]).to_numpy()
-        part, score = part.take(pa.array(order)), np.floor(x[order] @ q.T * 1e6 + 0.5) / 1e6
+        part, x = part.take(pa.array(order)), x[order]
+        scores = lambda v, w: np.floor(v @ w.T * 1e6 + 0.5) / 1e6
+        score = scores(x, q) if places is None else None
         group = np.zeros(len(order), np.int64)
         for c in names[1:]:
             codes = pc.dictionary_encode(part.column(c).combine_chunks(), null_encoding="encode").indices.to_numpy()
             group = group * (codes.max() + 1) + codes
         for g in np.unique(group).tolist():
             own = np.nonzero(group == g)[0]
-            at = np.argsort(-score[own], axis=0, kind="stable")[:k]
-            i, j = own[at].ravel(), np.broadcast_to(np.arange(len(asked)), at.shape).ravel()
-            found = part.take(pa.array(i))
-            yield from pa.table([told.column("query_id").take(pa.array(asked[j])), *found.columns, pa.array(score[i, j])], names=["query_id", *names, "score"]).combine_chunks().to_batches()
+            whose = np.arange(len(asked))
+            if places is not None:
+                whose = np.nonzero(np.isin(asked, places.get(tuple(part.column(c)[int(own[0])].as_py() for c in names[1:]), [])))[0]
+                if not len(whose):
+                    continue
+            own_score = score[own] if places is None else scores(x[own], q[whose])
+            at = np.argsort(-own_score, axis=0, kind="stable")[:k]
+            j = np.broadcast_to(np.arange(len(whose)), at.shape)
+            found = part.take(pa.array(own[at].ravel()))
+            yield from pa.table([told.column("query_id").take(pa.array(asked[whose[j.ravel()]])), *found.columns, pa.array(own_score[at, j].ravel())], names=["query_id", *names, "score"]).combine_chunks().to_batches()
 
 
 def top(scored: DataFrame, k: int, per: list[str], tie: str = "chunk_id") -> DataFrame:
@@ -142,7 +162,7 @@ def fused(lists: list[DataFrame], k: int, per: list[str], c: int = RRF_C) -> Dat
     return top(union.groupBy(*per, "chunk_id").agg(F.round(F.sum(1.0 / (c + F.col("rank"))), 6).alias("score")), k, per)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, keys: list[str], k: int = HYBRID_K, chunk_type: str | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, keys: list[str], k: int = HYBRID_K, chunk_type: str | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(query_id, keys, chunk_id, score, rank): fusion of the dense and sparse rankings of each collection.
 
     The type filter comes before the rankings, so that a list is never thinned after it was cut."""
@@ -150,7 +170,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, keys: list
     where = scope.select("chunk_id", *keys)
     per = ["query_id", *keys]
     own = vectors.select("chunk_id", "dense").join(where, "chunk_id")  # only vectors of the scope are scored
-    return fused([dense(own, queries, k, keys), top(bm25(scope, queries).join(where, "chunk_id"), k, per)], k, per)
+    return fused([dense(own, queries, k, keys, targets), top(bm25(scope, queries, "text", targets, keys).join(where, "chunk_id"), k, per)], k, per)
 
 
 def scroll(chunks: DataFrame, queries: DataFrame, section: Column, keys: list[str], k: int = SCROLL_K) -> DataFrame:
@@ -167,11 +187,13 @@ def focus_section(focus: str = "focus") -> Column:
     return reduce(lambda c, kv: c.when(F.col(focus) == kv[0], kv[1]), FOCUS_SECTION.items(), F.when(F.lit(False), F.lit(None).cast("string")))
 
 
-def passes(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
-    """All four search passes: hybrid, hybrid over tables, the income statement, the focus's own section."""
-    found = [
-        hybrid(chunks, vectors, queries, keys), hybrid(chunks, vectors, queries, keys, TABLE_K, "table"), scroll(chunks, queries, F.lit(INCOME), keys), scroll(chunks, queries, focus_section(), keys),
-    ]
+def passes(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, keys: list[str], targets: DataFrame | None = None) -> DataFrame:
+    """All four search passes: hybrid, hybrid over tables, the income statement, the focus's own section. With targets (query_id, keys) a question
+    searches its own collections alone, and the work is the sum of those instead of all questions times all collections."""
+    scrolls = [scroll(chunks, queries, F.lit(INCOME), keys), scroll(chunks, queries, focus_section(), keys)]
+    if targets is not None:
+        scrolls = [s.join(targets.select("query_id", *keys).distinct(), ["query_id", *keys], "left_semi") for s in scrolls]
+    found = [hybrid(chunks, vectors, queries, keys, targets=targets), hybrid(chunks, vectors, queries, keys, TABLE_K, "table", targets), *scrolls]
     return reduce(DataFrame.unionByName, (x.select("query_id", *keys, "chunk_id", "score") for x in found))
 
 

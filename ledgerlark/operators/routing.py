@@ -32,6 +32,11 @@ TOPIC_WORDS = [
     ("legal_proceedings", r"lawsuit|litigation|legal"), ("cybersecurity", r"cyber"), ("risk_factors", r"risk|threat|uncertaint"), ("balance_sheet", r"balance sheet|assets|liabilit|cash|debt"),
     ("segment_info", r"segment|geograph"), ("business_overview", r"business|product|sell|strategy|industry"),
 ]
+# Ours: capitalised words that name no company.
+NO_NAMES = (
+    "a an and annual are can compare describe did do does fiscal form fy give has have how i in is list of on or q report reports show summarize tell the their this was were what when where which who why "
+    "year january february march april may june july august september october november december"
+).split()
 
 
 def companies(spark) -> DataFrame:
@@ -42,7 +47,8 @@ def classified(questions: DataFrame, known: DataFrame) -> DataFrame:
     """Default classifier: (query_id, question, tickers, years, focus, query_type). A company is meant by its ticker as a word or
     the first word of its name; several companies, then several years, decide the type; none is out of scope.
 
-    A reply of a model is checked by validated() instead."""
+    Runs of capitalised words that name no known company, and are no words of questions, are unresolved names. A reply of a model is checked by
+    validated() instead."""
     names = known.select("ticker", F.split(X.normal_name(F.regexp_replace("name", r"(?i)^the\s+", "")), " ").alias("words")).select("ticker", F.get("words", F.lit(0)).alias("word"))
     asked = questions.withColumn("words", F.array_distinct(F.split(X.normal_name("question"), " ")))
     pairs = names.select("ticker", F.explode(F.array_distinct(F.array(F.lower("ticker"), "word"))).alias("word")).where("word <> ''")
@@ -52,7 +58,14 @@ def classified(questions: DataFrame, known: DataFrame) -> DataFrame:
     years = F.when(low.rlike(r"last year|recent") & (F.size(years) == 0), F.array(*map(F.lit, YEARS))).otherwise(years)
     focus = reduce(lambda c, kv: c.when(low.rlike(kv[1]), kv[0]), TOPIC_WORDS, F.when(F.lit(False), "")).otherwise("other")
     rows = questions.join(met, "query_id", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>"))).withColumn("years", years).withColumn("focus", focus)
-    kind = F.when(F.size("tickers") > 1, "multi_doc").when(F.size("tickers") == 0, "out_of_scope").when(F.size("years") > 1, "temporal").otherwise("single_doc")
+    words = F.collect_set("word").alias("words")
+    every = pairs.agg(words).withColumn("one", F.lit(1))  # a word or two for each of the companies covered from the start
+    runs = F.regexp_extract_all(X.text_of("question"), F.lit(r"[A-Z][\w&.'-]*(?:\s+[A-Z][\w&.'-]*)*"), F.lit(0))
+    strange = lambda w: (X.normal_name(w) != "") & ~F.array_contains("words", X.normal_name(w)) & ~X.normal_name(w).isin(*NO_NAMES) & ~X.normal_name(w).rlike(r"^(?:fy|q)?\d*$")
+    known_run = lambda r: F.exists(F.split(X.normal_name(r), " "), lambda w: F.array_contains("words", w))
+    named = F.transform(F.filter(runs, lambda r: ~known_run(r)), lambda r: F.regexp_replace(F.array_join(F.filter(F.split(r, r"\s+"), strange), " "), r"(?:'s?|\.)$", ""))
+    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").withColumn("unresolved", F.array_distinct(F.filter(named, lambda m: m != ""))).drop("one", "words")
+    kind = F.when(F.size("tickers") + F.size("unresolved") > 1, "multi_doc").when(F.size("tickers") == 0, "out_of_scope").when(F.size("years") > 1, "temporal").otherwise("single_doc")
     return rows.withColumn("query_type", kind)
 
 
@@ -114,6 +127,15 @@ def by_company(questions: DataFrame) -> DataFrame:
     return rows.select("query_id", (F.col("t") * F.col("n") + F.col("y")).alias("ord"), "question", "ticker", "year")
 
 
+def decomposed(questions: DataFrame, known: DataFrame) -> DataFrame:
+    """Default decomposition of questions (query_id, question, query_type, focus, targets): one company over several years by a question for each year in
+    the words of the topic, all others by the question itself for each company and year."""
+    one = F.size(F.array_distinct(F.transform("targets", lambda t: t["ticker"]))) == 1
+    years = questions.where((F.col("query_type") == "temporal") & one).select("query_id", "focus", "tickers", F.transform("targets", lambda t: t["year"]).alias("years"))
+    rest = questions.where(~((F.col("query_type") == "temporal") & one)).select("query_id", "question", F.posexplode("targets").alias("ord", "t"))
+    return by_year(years, known).unionByName(rest.select("query_id", "ord", "question", "t.ticker", "t.year"))
+
+
 def target_year() -> Column:
     """The year that must be covered: the first, of questions about figures that do not span years."""
     return F.when((F.col("query_type") != "temporal") & F.col("focus").isin(*FINANCIAL), F.get("years", F.lit(0)))
@@ -132,3 +154,48 @@ def outcomes(questions: DataFrame, indexed: DataFrame) -> DataFrame:
     route = F.when((F.col("query_type") == "out_of_scope") & ~named, "out_of_scope").when(~named & (F.size("unresolved") > 0), "unresolved_company").when(~named, "clarification_needed")
     route = route.when(F.col("query_type").isin("multi_doc", "temporal"), "synthesis").otherwise("single")
     return rows.withColumn("route", route)
+
+
+def ensured(asked: DataFrame, registry: DataFrame, known: DataFrame, indexed: DataFrame, fetch=None) -> DataFrame:
+    """asked (query_id, query_type, tickers, years, focus, unresolved and others) with the companies and collections that can be searched.
+
+    Names in unresolved become tickers where the registry has them, else they are failed_lookups. Each company must be indexed (indexed: ticker,
+    fiscal_year), for the year that must be covered if there is one; what is not goes to fetch, a function of (ticker, year)
+    that returns (ticker, year, years), the years that are indexed now, null where it failed; without a fetch nothing is.
+    tickers are those that are there; targets their collections: the years asked for that they have, and the one that must be covered, else the last;
+    ingest_failed has tickers, year_not_available tickers with the years that there are. A question out of scope that names a company after all
+    is one of one or several companies; route is what becomes of it."""
+    rows = asked.withColumn("target", target_year())
+    none = F.array().cast("array<string>")
+    said = rows.select("query_id", F.posexplode("unresolved").alias("at", "mention"))
+    found = resolved(said.select(F.col("mention").alias("mention_id"), "mention").distinct(), registry, known)
+    said = saved(said.join(found.select("mention", "ticker"), "mention", "left"))
+    in_order = lambda at, value: F.transform(F.sort_array(F.collect_list(F.struct(at, value.alias("v")))), lambda x: x["v"])
+    lost = said.where("ticker is null").groupBy("query_id").agg(in_order("at", F.col("mention")).alias("failed_lookups"))
+    wanted = rows.select("query_id", F.posexplode("tickers").alias("at", "ticker")).unionByName(said.where("ticker is not null").select("query_id", (F.col("at") + 1000).alias("at"), "ticker"))
+    wanted = wanted.groupBy("query_id", "ticker").agg(F.min("at").alias("at")).join(rows.select("query_id", "target", "years"), "query_id")
+    there = indexed.where("fiscal_year is not null").groupBy("ticker").agg(F.sort_array(F.collect_set(F.col("fiscal_year").cast("int"))).alias("have"))
+    wanted = wanted.join(there, "ticker", "left").withColumn("have", F.coalesce("have", F.array().cast("array<int>"))).withColumn("failed", F.size("have") == 0)
+    if fetch is not None:
+        lacking = (F.size("have") == 0) | (F.col("target").isNotNull() & ~F.array_contains("have", F.col("target")))
+        got = saved(fetch(saved(wanted.where(lacking).select("ticker", F.col("target").alias("year")).distinct())))
+        got = got.select(F.col("ticker").alias("t"), F.col("year").alias("y"), F.col("years").alias("now"), F.lit(True).alias("asked"))
+        wanted = saved(wanted).join(got, (F.col("ticker") == F.col("t")) & F.col("target").eqNullSafe(F.col("y")) & lacking, "left")
+        wanted = wanted.withColumn("failed", F.when(F.col("asked"), F.col("now").isNull() | (F.size("now") == 0)).otherwise(F.col("failed"))).withColumn("have", F.array_sort(F.array_union("have", F.coalesce("now", F.array().cast("array<int>")))))
+    sure = F.when(~F.col("failed"), F.when(F.col("target").isNull(), F.array_max("have")).when(F.array_contains("have", F.col("target")), F.col("target")))
+    years = F.array_sort(F.array_union(F.array_intersect("years", "have"), F.array("sure")))
+    none_such = F.concat("ticker", F.lit(" (asked for FY"), F.col("target").cast("string"), F.lit(", have FY"), F.array_join("have", "/FY"), F.lit(")"))
+    wanted = wanted.withColumn("sure", sure).withColumn("own", F.transform(years, lambda y: F.struct(F.col("ticker").alias("ticker"), y.alias("year"))))
+    ok = F.col("sure").isNotNull()
+    picked = wanted.groupBy("query_id").agg(
+        in_order("at", F.when(ok, F.col("ticker"))).alias("_t"), in_order("at", F.when(ok, F.col("own"))).alias("_c"), in_order("at", F.when(F.col("failed"), F.col("ticker"))).alias("_f"),
+        in_order("at", F.when(~F.col("failed") & ~ok, none_such)).alias("_y"),
+    )
+    out = rows.drop("tickers").join(picked, "query_id", "left").join(lost, "query_id", "left")
+    out = out.withColumns({n: F.coalesce(F.array_compact(c), none) for n, c in (("tickers", "_t"), ("ingest_failed", "_f"), ("year_not_available", "_y"))})
+    out = out.withColumn("targets", F.coalesce(F.flatten(F.array_compact("_c")), F.array().cast("array<struct<ticker:string,year:int>>"))).withColumn("failed_lookups", F.coalesce("failed_lookups", none)).drop("_t", "_c", "_f", "_y")
+    named, kind = F.size("tickers") > 0, F.col("query_type")
+    out = out.withColumn("query_type", F.when((kind == "out_of_scope") & named, F.when(F.size("tickers") > 1, "multi_doc").otherwise("single_doc")).otherwise(kind))
+    problem = F.size("failed_lookups") + F.size("ingest_failed") + F.size("year_not_available") > 0
+    route = F.when(F.col("query_type") == "out_of_scope", "out_of_scope").when(~named & problem, "unresolved_company").when(~named, "clarification_needed")
+    return out.withColumn("route", route.when(F.col("query_type").isin("multi_doc", "temporal"), "synthesis").otherwise("single")).drop("target")
