@@ -152,3 +152,53 @@ def run(spark: SparkSession, settings: Settings, known: DataFrame | None = None,
     """Parse what changed under raw_dir and index what the index lacks; returns the collections written."""
     parse(spark, settings, known)
     return index(spark, settings, force)
+
+
+def on_demand(spark: SparkSession, settings: Settings, requests: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(ticker, year, years, outcome) of requests (ticker, year; a null year means the last there is), after fetching what must be: the
+    years that are indexed now, and indexed, fetched, year_not_available or failed.
+
+    Companies that failed, and years that were not there, less than FAILURE_SECONDS ago are not tried again: failures are a table
+    beside the index, written last. What is tried is parsed and indexed from the files of those companies alone, first the
+    sections that are asked about most. One writer at a time: two runs at once may fetch alike, but write the same collections."""
+    with scratch(spark) as kept:
+        asked = saved(requests.where("ticker is not null").select(F.upper("ticker").alias("ticker"), F.col("year").cast("int").alias("year")).distinct())
+        failures = f"{settings.index_dir}/failures"
+
+        def state() -> DataFrame:
+            log = stored(spark, f"{settings.index_dir}/log")
+            if log is None:
+                return asked.select("*", F.array().cast("array<int>").alias("years"))
+            have = lifecycle.latest(log, ["doc_id"], "at").where("chunks > 0").groupBy("ticker").agg(F.sort_array(F.collect_set("fiscal_year")).alias("years"))
+            return asked.join(have, "ticker", "left").withColumn("years", F.coalesce("years", F.array().cast("array<int>")))
+
+        there = F.when(F.col("year").isNull(), F.size("years") > 0).otherwise(F.array_contains("years", F.col("year")))
+        before = state()
+        wanted = before.where(~there)
+        past = stored(spark, failures)
+        if past is not None:
+            recent = past.where(F.col("ts") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(lifecycle.FAILURE_SECONDS)))
+            wanted = wanted.join(recent.where("year is null").select("ticker").distinct(), "ticker", "left_anti").join(recent.select("ticker", "year").distinct(), ["ticker", "year"], "left_anti")
+        tried = saved(wanted.select("ticker", "year"))
+        tickers = [r["ticker"] for r in tried.select("ticker").distinct().collect()]
+        if present := [t for t in tickers if _has_files(spark, settings, t)]:
+            parse(spark, settings, known, present)
+            index(spark, settings, tickers=present)
+        mark = tried.select("ticker", F.coalesce("year", F.lit(-1)).alias("y"), F.lit(True).alias("tried"))
+        found = state().withColumn("y", F.coalesce("year", F.lit(-1))).join(mark, ["ticker", "y"], "left").withColumn("tried", F.coalesce("tried", F.lit(False)))
+        outcome = F.when(there, F.when(F.col("tried"), "fetched").otherwise("indexed")).when(F.size("years") == 0, "failed").otherwise("year_not_available")
+        found = saved(found.withColumn("outcome", outcome))
+        lost = found.where("tried and outcome in ('failed', 'year_not_available')")
+        lost.select("ticker", F.when(F.col("outcome") != "failed", F.col("year")).alias("year"), F.current_timestamp().alias("ts")).distinct().write.mode("append").parquet(failures)
+        return kept(found.select("ticker", "year", "years", "outcome"))
+
+
+def fetching(spark: SparkSession, settings: Settings, known: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A fetch for Engine and routing.ensured(): on_demand(), with null years where a company could not be had."""
+    years = F.when(F.col("outcome") != "failed", F.col("years")).alias("years")
+    return lambda asked: on_demand(spark, settings, asked, known).select("ticker", "year", years)
+
+
+def _has_files(spark: SparkSession, settings: Settings, ticker: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{settings.raw_dir}/{ticker}")
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder))

@@ -410,7 +410,7 @@ def by_model(ask: Callable[[list[str], list[list[str]]], list[dict[str, str]]])
 
     ask gets the texts of pages (of 100 lines, at most 15 of a document, from where candidates begin) and, for each, the ids looked for, and returns for each
     a heading by id, as it stands in the page. A reply counts where a line of that page holds it; of several the first
-    line. Statements of equity are not asked for. A model that fails on a batch finds nothing in it."""
+    line. Statements of equity are not asked for. Where a batch fails its pages are asked about one by one; a page that fails has no headings."""
     titles = {s: t for _, s, t in reversed(STATEMENTS) if s != NOT_ASKED}
 
     def recover(lines: DataFrame, chosen: DataFrame, doc: str) -> DataFrame:
@@ -426,12 +426,16 @@ def by_model(ask: Callable[[list[str], list[list[str]]], list[dict[str, str]]])
         def work(batches) -> Iterator:
             import pandas as pd
 
-            for frame in batches:
-                wanted = [list(m) for m in frame["missing"]]
+            def tried(pages: list[str], wanted: list[list[str]]) -> list[dict[str, str]] | None:
                 try:
-                    told = ask(frame["text"].tolist(), wanted)
+                    return ask(pages, wanted)
                 except Exception:
-                    told = [{}] * len(frame)
+                    return None
+
+            for frame in batches:
+                wanted = [list(m) for m in frame["missing"]]
+                pages = frame["text"].tolist()
+                told = tried(pages, wanted) or [(tried([p], [w]) or [{}])[0] for p, w in zip(pages, wanted, strict=True)]
                 out = [(d, p, s, h) for d, p, w, own in zip(frame[doc], frame["page"], wanted, told, strict=True) for s, h in own.items() if s in w and h and h.strip()]
                 yield pd.DataFrame(out, columns=[doc, "page", "section_id", "heading"])
 

@@ -34,7 +34,7 @@ TOPIC_WORDS = [
 ]
 # Ours: capitalised words that name no company.
 NO_NAMES = (
-    "a an and annual are can compare describe did do does fiscal form fy give has have how i in is list of on or q report reports show summarize tell the their this was were what when where which who why "
+    "a an and annual are but can compare describe did do does earlier fiscal form fy give has have how i if in is it list of on or our q report reports show summarize tell the their these they this those was we were what when where which who why you "
     "year january february march april may june july august september october november december"
 ).split()
 
@@ -45,7 +45,7 @@ def companies(spark) -> DataFrame:
 
 def classified(questions: DataFrame, known: DataFrame) -> DataFrame:
     """Default classifier: (query_id, question, tickers, years, focus, query_type). A company is meant by its ticker as a word or
-    the first word of its name; several companies, then several years, decide the type; none is out of scope.
+    the first word of its name; several companies, then several years, decide the type; a question that names none is out of scope.
 
     Runs of capitalised words that name no known company, and are no words of questions, are unresolved names. A reply of a model is checked by
     validated() instead."""
@@ -65,7 +65,7 @@ def classified(questions: DataFrame, known: DataFrame) -> DataFrame:
     known_run = lambda r: F.exists(F.split(X.normal_name(r), " "), lambda w: F.array_contains("words", w))
     named = F.transform(F.filter(runs, lambda r: ~known_run(r)), lambda r: F.regexp_replace(F.array_join(F.filter(F.split(r, r"\s+"), strange), " "), r"(?:'s?|\.)$", ""))
     rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").withColumn("unresolved", F.array_distinct(F.filter(named, lambda m: m != ""))).drop("one", "words")
-    kind = F.when(F.size("tickers") + F.size("unresolved") > 1, "multi_doc").when(F.size("tickers") == 0, "out_of_scope").when(F.size("years") > 1, "temporal").otherwise("single_doc")
+    kind = F.when(F.size("tickers") + F.size("unresolved") > 1, "multi_doc").when(F.size("tickers") + F.size("unresolved") == 0, "out_of_scope").when(F.size("years") > 1, "temporal").otherwise("single_doc")
     return rows.withColumn("query_type", kind)
 
 

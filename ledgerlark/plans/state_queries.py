@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
-from ledgerlark.operators import context, lifecycle, routing, sessions
+from ledgerlark.operators import context, lifecycle, ondemand, routing, sessions
 from ledgerlark.plans import fixtures as fx
 from ledgerlark.plans.registry import query
 from ledgerlark.sources import filings
@@ -115,6 +115,37 @@ def negative_cache(spark, sf_dir):
     return lifecycle.not_cached(e.where(F.col("event_type") != least), e.where(F.col("event_type") == least), ["user_id"]).select("event_id")
 
 
+# Requests and ends of fetches by user; each step's state follows from the one before.
+_MISS = "list_transform([1, 2, 3, 4], lambda i: {0})".format
+_FRESH = "coalesce({0} > e.ts - INTERVAL 300 SECOND, false)".format
+_STEP = f"""CASE WHEN NOT e.asks THEN NULL WHEN coalesce(list_contains(r.have, e.y), false) OR (e.y IS NULL AND len(r.have) > 0) THEN 'indexed' WHEN e.y IS NOT NULL AND {_FRESH('r.miss[e.y - 2021]')} THEN 'year_not_available'
+  WHEN {_FRESH('r.failed')} THEN 'failed' WHEN {_FRESH('r.pending')} THEN 'waiting' ELSE 'fetch' END"""
+
+
+@query("on_demand_requests", f"""WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, ts, event_type <> (SELECT min(event_type) FROM events) AS asks, CASE WHEN event_id % 3 > 0 THEN CAST(2022 + event_id % 4 AS INTEGER) END AS y, [NULL, [2023], [2023, 2024], [2025]][event_id // 5 % 4 + 1] AS years FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, asks, event_id) AS n FROM ev),
+r AS (
+  SELECT user_id, 0 AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS INTEGER) AS served, CAST([] AS INTEGER[]) AS have, CAST(NULL AS TIMESTAMP) AS pending, CAST(NULL AS TIMESTAMP) AS failed, CAST([NULL, NULL, NULL, NULL] AS TIMESTAMP[]) AS miss
+  FROM (SELECT DISTINCT user_id FROM ev)
+  UNION ALL
+  SELECT e.user_id, e.n, e.event_id, {_STEP}, CASE WHEN e.asks AND e.y IS NULL THEN list_max(r.have) WHEN e.asks AND list_contains(r.have, e.y) THEN e.y END, CASE WHEN NOT e.asks AND e.years IS NOT NULL THEN list_distinct(list_concat(r.have, e.years)) ELSE r.have END,
+         CASE WHEN NOT e.asks THEN NULL WHEN ({_STEP}) = 'fetch' THEN e.ts ELSE r.pending END, CASE WHEN e.asks THEN r.failed WHEN e.years IS NULL THEN e.ts END,
+         CASE WHEN NOT e.asks AND e.years IS NOT NULL AND e.y IS NOT NULL AND NOT list_contains(e.years, e.y) THEN {_MISS("CASE WHEN i = e.y - 2021 THEN e.ts ELSE r.miss[i] END")} ELSE r.miss END
+  FROM r JOIN o e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, outcome, served AS served_year FROM r WHERE outcome IS NOT NULL""")
+def on_demand_requests(spark, sf_dir):
+    return ondemand.decided(request_events(spark, sf_dir)).select("event_id", "outcome", "served_year")
+
+
+def request_events(spark, sf_dir):
+    """Events of the least type end a fetch, all others are requests."""
+    e, k = fx.table(spark, sf_dir, "events"), F.col("event_id")
+    least = e.agg(F.min("event_type").alias("m")).scalar()
+    years = F.get(F.array(F.lit(None).cast("array<int>"), F.array(F.lit(2023)), F.array(F.lit(2023), F.lit(2024)), F.array(F.lit(2025))), F.floor(k / 5).cast("int") % 4)
+    return e.select("event_id", F.col("user_id").cast("string").alias("ticker"), F.when(k % 3 > 0, (F.lit(2022) + k % 4).cast("int")).alias("year"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == least, "result").otherwise("request").alias("kind"), years.alias("years"))
+
+
 @query("migrate_diff", """WITH a AS (SELECT source AS collection, count(*) AS local_points FROM documents WHERE lang <> 'es' GROUP BY source),
 b AS (SELECT source AS collection, count(*) AS remote_points FROM documents WHERE doc_id % 40 < 20 AND lang = 'en' AND source <> 'src1' GROUP BY source)
 SELECT collection, coalesce(local_points, 0) AS local_points, coalesce(remote_points, 0) AS remote_points,
