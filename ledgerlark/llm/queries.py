@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import bestfit, bpe, chats, clustering, embeddings, linededup, manifest, packing, quality, sharding, simhash, toxicity, warc
-from ledgerlark.llm.common import shared_dir
+from ledgerlark.llm.common import deleted, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +138,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives, read back and assembled."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     found = warc.captures(_table(spark, sf_dir, "pages"), path)
+    deleted(spark, path)  # what was read from the archives is a table now
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -156,16 +156,18 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, na
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, penalty: float = 1.0, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
-    """A model fitted on at most `most` labelled rows of docs, drawn by the hash of their ids.
+    """A model fitted on at most `most` labelled texts, drawn by the hash of their ids.
 
-    Labels other than 0 and 1 and ids that have both are left out. Which features the model has is decided by the
+    Of rows that repeat an id one text is taken, so that the bound holds whatever docs repeat; rows without an id and texts without a
+    label are not learned from, and a null text counts as an empty one. Labels other than 0 and 1 and ids that have both are left out. Which features the model has is decided by the
     sample's document counts of each label, taken on the executors: those in enough documents, whose share differs
     most between the labels. Without rows of both labels every score is that of their smoothed share.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("z"))
     drawn = known.where("y = z").select("id", "y").orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
-    sample = saved(texts.join(F.broadcast(drawn), "id").select("y", "text"))
+    met = texts.join(F.broadcast(drawn), "id")
+    sample = saved(met.groupBy("id").agg(F.min("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text"))
 
     def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in text_batches(batches, "text"):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import integer_id
+from ledgerlark.llm.common import integer_id, saved, scratch
 
 CRLF = "\r\n"
 #: Records of a file: three for each capture, so that a reader holds a few MB at a time.
@@ -163,20 +163,34 @@ def transactions(records: DataFrame) -> DataFrame:
     return met.withColumnRenamed("capture", "key")
 
 
+def with_references(met: DataFrame, parts: int = 8192, least: int = 8) -> DataFrame:
+    """met (of transactions(), written) with first_page and first_bytes, those of the response that a revisit refers to.
+
+    A response with more than a `parts`-th of all revisits, or `least` of them, is hot: there are at most `parts` of these, whose list goes to all tasks.
+    Its revisits are dealt out by their own keys, and it is copied to as many places, so that no task meets them all."""
+    again = F.col("response.kind") == "revisit"
+    refers = F.coalesce("response.refers_to", "key")  # what refers to nothing goes by its own key: null keys would all meet in one task
+    many = met.where(again).groupBy(refers.alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    total = met.where(again).count()
+    limit = max(least, -(-total // parts))
+    hot = F.broadcast(saved(many.where(F.col("n") > limit).select("first", F.ceil(F.col("n") / limit).cast("int").alias("places"))))
+    full = met.where(F.col("response.kind") == "response").select(F.col("key").alias("first"), F.col("page_id").alias("first_page"), F.col("response.payload_bytes").alias("first_bytes"))
+    full = full.join(hot, "first", "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
+    asked = met.withColumn("first", refers).join(hot, "first", "left").withColumn("place", F.when(again, F.pmod(F.xxhash64("key"), F.coalesce("places", F.lit(1)))).otherwise(0).cast("int")).drop("places")
+    return asked.join(full, ["first", "place"], "left").withColumn("first_page", F.when(again, F.col("first_page"))).drop("first", "place")
+
+
 def captures(pages: DataFrame, path: str, least: int = 100, payload: bool = False, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write pages as archives under path, read them back and assemble a nested row for each page.
+    """Write pages as archives under path, read them back and assemble a nested row for each page, as a table.
 
-    Adds payload_bytes, payload_digest, record_type and refers_to (the page of the response) of the full payload.
-    An empty table gives no rows.
+    Adds payload_bytes, payload_digest, record_type and refers_to (the page of the response) of the full payload. A file is read whole by
+    one task, so that 1,000 captures must stay below the 2 GB that a cell holds: longer pages than 2 MB on average need fewer. An empty table gives no rows.
     """
-    write_archives(pages, path, id_col, url_col, html_col, least)
-    met = transactions(read_records(pages.sparkSession, path, payload))
-    full = met.where(F.col("response.kind") == "response").select(F.col("key").alias("first"), F.col("page_id").alias("first_page"), F.col("response.payload_bytes").alias("first_bytes"))
-    again = F.col("response.kind") == "revisit"
-    # what refers to nothing goes by its own key: null keys would all meet in one task
-    met = met.join(full, F.coalesce("response.refers_to", "key") == F.col("first"), "left").withColumn("first_page", F.when(again, F.col("first_page")))
-    met = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return met.select(
-        "page_id", "key", "request", "response", "metadata", F.coalesce("response.payload_bytes", "first_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.kind").alias("record_type"), F.col("first_page").alias("refers_to"),
-    )
+    with scratch(pages.sparkSession) as kept:
+        write_archives(pages, path, id_col, url_col, html_col, least)
+        met = with_references(saved(transactions(read_records(pages.sparkSession, path, payload))))
+        met = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        return kept(met.select(
+            "page_id", "key", "request", "response", "metadata", F.coalesce("response.payload_bytes", "first_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+            F.col("response.kind").alias("record_type"), F.col("first_page").alias("refers_to"),
+        ))

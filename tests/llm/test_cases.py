@@ -222,15 +222,33 @@ def test_no_task_gathers_the_captures_of_a_hot_payload(spark, tmp_path):
         warc.write_archives(hot, str(tmp_path / "w"))
         files = [p.stat().st_size for p in (tmp_path / "w").glob("*.gz")]
         assert len(files) == 16 and max(files) < 2 * sum(files) / 16
+        met = common.saved(warc.transactions(warc.read_records(spark, str(tmp_path / "w"), payload=False)))
+        joined = warc.with_references(met)
+        assert "SortMergeJoin" in joined._jdf.queryExecution().toString()
+        sizes = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count("first_page").alias("again"), F.sum("first_bytes").alias("b")).collect()
+        assert sum(r["n"] for r in sizes) == 4000 and max(r["n"] for r in sizes) < 2 * 4000 / 16
+        assert sum(r["again"] for r in sizes) == 1333 and max(r["again"] for r in sizes) < 2 * 1333 / 16
         out = warc.captures(hot, str(tmp_path / "v"))
-        sizes = [r["n"] for r in out.where("record_type = 'response'").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
-        assert sum(sizes) == 2667 and max(sizes) < 2 * 2667 / 16
         assert out.where("record_type = 'revisit' and refers_to = 0 and payload_bytes = 240").count() == 1333
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
 
 
+# ---- op1
+
+
+def test_the_fit_takes_one_text_of_each_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, f"text {i} vile" if i % 3 else f"text {i}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *a, **b: seen.append(len(rows)) or fit(rows, *a, **b))
+    toxicity.trained(docs, labels, most=2)
+    toxicity.trained(docs, labels)
+    assert seen == [2, 3]
+
+
 # ---- op9
 
 
