@@ -440,25 +440,41 @@ def _similar_within(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _linked_within(table: pa.Table, names: list[str], masks: list[tuple[int, int]], wide: int, similarity: float) -> pa.Table:
-    """Every candidate of rows sorted by cell, the nearest first, verified on the sets unless its classes are linked already: the links that join classes."""
+def _linked_within(table: pa.Table, names: list[str], masks: list[tuple[int, int]], wide: int, similarity: float, bound: int | None = None) -> pa.Table:
+    """Every candidate of rows sorted by cell, verified on the sets unless its classes are linked already: the links that join classes.
+
+    At most about `bound` candidates (HELD_PAIRS) are held: they are verified, the nearest first, before more are looked for."""
     of, rows = _sets_of(table)
-    found = [(np.empty(0, np.int64),) * 3, *(_candidates(rows, names, masks, wide) if rows.num_rows else ())]
-    x, y, d = (np.concatenate(z) for z in zip(*found, strict=True))
-    order = np.lexsort((y, x, d))
     _, code = np.unique(rows.column("c").to_numpy(), return_inverse=True)
     above, ids, links = list(range(len(code))), rows.column("id").to_pylist(), []
+    held: list[tuple[np.ndarray, ...]] = []
+    weight, bound = 0, HELD_PAIRS if bound is None else bound
 
     def top(k: int) -> int:
         while above[k] != k:
             above[k] = k = above[above[k]]
         return k
 
-    for i, j, p, q in zip(x[order].tolist(), y[order].tolist(), code[x[order]].tolist(), code[y[order]].tolist(), strict=True):
-        p, q = top(p), top(q)
-        if p != q and any(_alike(u, v, similarity) for u in of.get(ids[i], []) for v in of.get(ids[j], [])):
-            above[max(p, q)] = min(p, q)
-            links.append((ids[i], ids[j]))
+    def verify() -> None:
+        x, y, d = (np.concatenate(z) for z in zip(*held, strict=True))
+        held.clear()
+        label = np.array([top(k) for k in range(len(above))], np.int64)
+        apart = np.nonzero(label[code[x]] != label[code[y]])[0]
+        order = apart[np.lexsort((y[apart], x[apart], d[apart]))]
+        for i, j, p, q in zip(x[order].tolist(), y[order].tolist(), code[x[order]].tolist(), code[y[order]].tolist(), strict=True):
+            p, q = top(p), top(q)
+            if p != q and any(_alike(u, v, similarity) for u in of.get(ids[i], []) for v in of.get(ids[j], [])):
+                above[max(p, q)] = min(p, q)
+                links.append((ids[i], ids[j]))
+
+    for found in _candidates(rows, names, masks, wide) if rows.num_rows else ():
+        held.append(found)
+        weight += len(found[0])
+        if weight > bound:
+            verify()
+            weight = 0
+    if held:
+        verify()
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
