@@ -14,6 +14,8 @@ from ledgerlark.sources import filings
 from ledgerlark.tables import saved, scratch, stored
 
 KEYS = ["ticker", "fiscal_year"]
+#: How chunks lie within a collection, for filters on section and type.
+CLUSTERED = ["section_name", "chunk_type", "chunk_id"]
 NO_REPORT, NO_CHUNKS = "no annual report among its documents", "nothing to index"
 
 
@@ -137,11 +139,11 @@ def index(spark: SparkSession, settings: Settings, force: bool = False, tickers:
         lifecycle.store_partitions(parents, f"{settings.index_dir}/parents", KEYS)
         path = f"{settings.index_dir}/chunks"
         first = saved(encoder(rows.where("load = 1").drop("load")))
-        lifecycle.store_partitions(first, path, KEYS)
+        lifecycle.store_partitions(first, path, KEYS, CLUSTERED, ["chunk_id"])
         rest = rows.where("load = 2")
         if not rest.isEmpty():
             some = rest.select(*KEYS).distinct()
-            lifecycle.store_partitions(first.join(some, KEYS, "left_semi").unionByName(encoder(rest.drop("load"))), path, KEYS)
+            lifecycle.store_partitions(first.join(some, KEYS, "left_semi").unionByName(encoder(rest.drop("load"))), path, KEYS, CLUSTERED, ["chunk_id"])
         counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
         told = new.select("doc_id", *KEYS, "sha").join(counts, "doc_id", "left").na.fill(0, ["chunks"]).withColumn("at", F.current_timestamp())
         told.write.mode("append").parquet(f"{settings.index_dir}/log")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ledgerlark.functions import text as X
 from ledgerlark.operators.lifecycle import remaining, store_partitions
@@ -24,16 +25,39 @@ def hashed(df: DataFrame, text: str = "text", dim: int = DIM) -> DataFrame:
     return rows.withColumn("dense", F.transform("_sums", lambda x: F.coalesce(F.try_divide(x, F.col("_length")), F.lit(0.0)).cast("float"))).drop("_terms", "_places", "_sums", "_length")
 
 
-def encoded(df: DataFrame, load: Callable[[], Callable[[list[str]], list]], text: str = "text") -> DataFrame:
-    """df with dense by a model: load() runs once in each worker, what it returns gets batches of texts."""
+#: Models by name that this process has loaded.
+_held: dict[str, Callable] = {}
+
+
+def held(name: str, load: Callable[[], Callable]) -> Callable:
+    """The model of that name in this process, loaded when it is first asked for and kept for later tasks."""
+    if name not in _held:
+        _held[name] = load()
+    return _held[name]
 
-    def work(batches) -> Iterator:
-        model = load()
-        for frame in batches:
-            yield frame.assign(dense=list(model(frame[text].fillna("").tolist())))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(work, f"{fields}, dense array<float>")
+def encoded(df: DataFrame, load: Callable[[], Callable[[list[str], str], list]], name: str, text: str = "text", mode: str = "passage", batch: int = 64) -> DataFrame:
+    """df with dense by a model, called with at most `batch` texts and the mode, "passage" or "query".
+
+    load() runs once in each worker process for a name, which must tell model and settings apart; tasks that follow in the process use the
+    same model. A null text is an empty one. Vectors are of 32-bit floats; a model that returns more or fewer vectors than texts is an error."""
+    if mode not in ("passage", "query"):
+        raise ValueError(f"mode is passage or query, not {mode}")
+
+    def work(batches: Iterator) -> Iterator:
+        model = held(name, load)
+        for frame in batches:
+            texts, found = frame[text].fillna("").tolist(), []
+            for at in range(0, len(texts), batch):
+                part = texts[at : at + batch]
+                vectors = list(model(part, mode))
+                if len(vectors) != len(part):
+                    raise ValueError(f"{name} returned {len(vectors)} vectors for {len(part)} texts")
+                found += [[float(x) for x in v] for v in vectors]
+            yield frame.assign(dense=found)
+
+    kept = df.drop("dense")
+    return kept.mapInPandas(work, StructType([*kept.schema.fields, StructField("dense", ArrayType(FloatType()))]))
 
 
 def build(chunks: DataFrame, path: str, keys: list[str], force: bool = False, encoder: Callable[[DataFrame], DataFrame] = hashed) -> DataFrame:

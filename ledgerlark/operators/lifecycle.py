@@ -84,6 +84,14 @@ def to_copy(local: DataFrame, remote: DataFrame, key: str = "collection", ident:
     return local.join(plan, key, "left_semi").join(remote.select(key, ident), [key, ident], "left_anti")
 
 
-def store_partitions(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Replace the partitions that rows have, and no others. rows must not be read from path."""
-    rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+def store_partitions(rows: DataFrame, path: str, keys: list[str], order: list[str] | None = None, lookup: list[str] | None = None) -> None:
+    """Replace the partitions that rows have, and no others. rows must not be read from path.
+
+    With `order`, ranges of keys and order make the files and rows lie in that order, so that a large collection is written by many
+    tasks and a filter on these columns skips row groups by their least and greatest values. Columns of `lookup` get Bloom filters, for
+    equality with values that lie everywhere."""
+    rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order) if order else rows.repartition(*keys)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+    for c in lookup or []:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)

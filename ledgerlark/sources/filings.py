@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import logging
+import time
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
+from ledgerlark.tables import deleted
+
+log = logging.getLogger(__name__)
 
 # Document types that are kept, the mark between embedded documents, and sizes.
 KEPT_TYPES = ("10-K", "10-K405", "10-KSB", "EX-13")
-LEAST_BYTES, UNKNOWN_YEAR = 1000, 2023
+LEAST_BYTES, UNKNOWN_YEAR, REGISTRY_DAYS = 1000, 2023, 7
 
 
 def submissions(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +88,40 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("k").try_cast("int").alias("ord"), F.upper("r.ticker").alias("ticker"), "r.title", F.lpad("r.cik_str", 10, "0").alias("cik"))
 
 
+def kept_registry(spark: SparkSession, source: str, cache: str, now: float | None = None, days: float = REGISTRY_DAYS) -> DataFrame:
+    """The registry at source as a snapshot under cache that is younger than `days`; an older one is replaced from the source.
+
+    Where the source cannot be read or holds no record, the last snapshot is used whatever its age, and where there is none the registry is empty.
+    A snapshot is a folder that bears its second and is taken only when Spark has marked it complete; older ones go once a new one is. A
+    ticker that stands several times has the last record, an empty one none. now: seconds, for tests."""
+    now = time.time() if now is None else now
+    ages = sorted(_snapshots(spark, cache))
+    if ages and now - ages[-1] < days * 86400:
+        return spark.read.parquet(f"{cache}/{ages[-1]}")
+    try:
+        rows = registry(spark, source).where("ticker <> ''")
+        last = rows.groupBy("ticker").agg(F.max_by(F.struct("ord", "title", "cik"), "ord").alias("r")).select("r.ord", "ticker", "r.title", "r.cik")
+        last.write.mode("overwrite").parquet(f"{cache}/{int(now)}")
+        if spark.read.schema(last.schema).parquet(f"{cache}/{int(now)}").isEmpty():
+            deleted(spark, f"{cache}/{int(now)}")
+            raise ValueError(f"no record in {source}")
+    except (PySparkException, ValueError) as e:
+        log.warning("the registry at %s cannot be read: %s", source, str(e).partition("\n")[0])
+        return spark.read.parquet(f"{cache}/{ages[-1]}") if ages else spark.createDataFrame([], "ord int, ticker string, title string, cik string")
+    for age in ages:
+        deleted(spark, f"{cache}/{age}")
+    return spark.read.parquet(f"{cache}/{int(now)}")
+
+
+def _snapshots(spark: SparkSession, cache: str) -> list[int]:
+    """Seconds of the complete snapshots."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    whole = lambda n: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/{n}/_SUCCESS"))
+    return [int(n) for n in names if n.isdigit() and whole(n)]
+
+
 def parsed_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON records of documents or chunks; unreadable ones are left out."""
     rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("multiLine", True).json(path)
