@@ -21,8 +21,8 @@ class Points:
     """A table of points under `path`: clustered files by collection (`keys`) and, beside them, deltas that are not merged yet.
 
     A point is known by its id within its collection: an equal id elsewhere is another point, and null is an id and a key like any other. Of a
-    batch's rows with equal ids the last by `put`'s column stays, ties by their hash. Columns beyond the schema are dropped. One writer
-    at a time. Deltas win over files, so that a compaction that ends early is repeated without harm, and a batch that ends early is put again."""
+    batch's rows with equal ids the last by `put`'s column stays, ties by their hash. Columns beyond the schema are dropped, and a batch must
+    give the same rows when it is evaluated again. One writer at a time. Deltas win over files, so that a compaction that ends early is repeated without harm, and a batch that ends early is put again."""
 
     path: str
     schema: StructType
@@ -61,7 +61,9 @@ class Points:
     def _append(self, rows: DataFrame) -> None:
         seen = self._deltas(rows.sparkSession)
         load = 1 if seen is None else 1 + (seen.agg(F.max("_load")).first()[0] or 0)
-        rows.write.parquet(f"{self.path}/deltas/_load={load}")
+        # the ids lie apart, so that a read knows how few they are and sends them to the files instead of the files to them; the delta makes them count
+        rows.select(*self._ids).write.mode("overwrite").parquet(f"{self.path}/ids/_load={load}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/deltas/_load={load}")
 
     def _last(self, spark: SparkSession) -> DataFrame | None:
         """The last delta of each point."""
@@ -79,7 +81,8 @@ class Points:
             base = spark.createDataFrame([], self.schema)
         if last is None:
             return base
-        gone = last.select(*(F.col(c).alias(f"_{c}") for c in self._ids))
+        load = self._deltas(spark).agg(F.coalesce(F.max("_load"), F.lit(0))).first()[0]
+        gone = spark.read.parquet(f"{self.path}/ids").where(F.col("_load") <= load).select(*(F.col(c).alias(f"_{c}") for c in self._ids))
         same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in self._ids))
         return base.join(gone, same, "left_anti").unionByName(last.where("not _gone").drop("_gone"))
 
@@ -102,6 +105,7 @@ class Points:
             self.replace(merged)
             n = touched.count()
         deleted(spark, f"{self.path}/deltas")
+        deleted(spark, f"{self.path}/ids")
         return n
 
 

@@ -70,6 +70,26 @@ def test_a_compaction_that_ended_early_is_repeated(spark, tmp_path):
     assert held(s, spark) == want and s.compact(spark) == 2 and held(s, spark) == want
 
 
+def test_a_batch_that_ended_early_does_not_count(spark, tmp_path):
+    s = store(spark, tmp_path / "p")
+    s.replace(table(spark, [point("A", 2023, "0", "x"), point("A", 2023, "1", "y")]))
+    s.put(table(spark, [point("A", 2023, "0", "z")]))
+    want = held(s, spark)
+    table(spark, [point("A", 2023, "1", "w")]).select("ticker", "fiscal_year", "chunk_id").write.parquet(str(tmp_path / "p" / "ids" / "_load=2"))
+    os.makedirs(tmp_path / "p" / "deltas" / "_load=2" / "_temporary")
+    assert held(s, spark) == want
+    s.put(table(spark, [point("A", 2023, "0", "v")]))
+    assert held(s, spark) == Counter([point("A", 2023, "0", "v"), point("A", 2023, "1", "y")])
+
+
+def test_few_deltas_go_to_the_files_and_not_the_files_to_them(spark, tmp_path):
+    s = store(spark, tmp_path / "p")
+    s.replace(table(spark, [point("A", 2023, str(i), "x") for i in range(100)]))
+    s.put(table(spark, [point("A", 2023, "0", "z")]))
+    plan = s.rows(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_of_equal_ids_in_a_batch_the_last_stays(spark, tmp_path):
     s = store(spark, tmp_path / "p")
     batch = table(spark, [point("A", 2023, "0", t) for t in ("first", "third", "second")]).withColumn("at", F.element_at(F.create_map(F.lit("first"), F.lit(1), F.lit("second"), F.lit(2), F.lit("third"), F.lit(3)), F.col("text")))
