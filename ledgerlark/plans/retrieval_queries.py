@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
@@ -83,9 +84,15 @@ rows AS (
 
 
 def statement_rows(spark, sf_dir):
-    """(sup, yr, kind, sec, text): one row in pipes for each supplier and year."""
-    line = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sup"), F.year("l_shipdate").alias("yr"))
-    sums = line.agg(F.round(F.sum("l_extendedprice")).cast("long").alias("net"), F.round(F.sum("l_quantity")).cast("long").alias("qty"))
+    """(sup, yr, kind, sec, text): one row in pipes for each supplier and year.
+
+    Prices are added in the order of the files' rows, as the SQL does: in another order a sum that ends in a half may round to another figure."""
+    line = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sup"), F.year("l_shipdate").alias("yr"), "l_extendedprice", "l_quantity", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    order = W.partitionBy("sup", "yr").orderBy("file", "place")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    added = line.withColumns({"net": F.sum("l_extendedprice").over(upto), "qty": F.sum("l_quantity").over(upto), "n": F.row_number().over(order)})
+    last = added.groupBy("sup", "yr").agg(F.max_by(F.struct("net", "qty"), "n").alias("last"))
+    sums = last.select("sup", "yr", *(F.round(f"last.{c}").cast("long").alias(c) for c in ("net", "qty")))
     names = F.array(*map(F.lit, ("Total net sales", "Research and development", "Net income", "Operating income", "Cash and cash equivalents", "Segment assets", "Revenue", "Other", "Income from operations", "Total cash and cash equivalents", "Net sales")))
     label = F.element_at(names, (F.col("sup") % 11 + 1).cast("int"))
     return sums.select("sup", "yr", (F.col("sup") % 11).alias("kind"), (F.col("sup") % 8).alias("sec"), F.concat(F.lit("| "), label, F.lit(" | "), F.col("net").cast("string"), F.lit(" | "), F.col("qty").cast("string"), F.lit(" |")).alias("text"))
