@@ -22,17 +22,17 @@ def within_budget(rows: DataFrame, tokens: str = "tokens", per: str = "query_id"
     return rows.where((F.col("running") <= most) | (F.col("_place") == 1)).drop("_place")
 
 
-def grouped(rows: DataFrame, keys: list[str], per: str = "query_id", order: str = "rank", text: str = "text") -> DataFrame:
-    """A source for each section of a question, in the order in which its first chunk was ranked, texts joined by blank lines."""
+def grouped(rows: DataFrame, keys: list[str], per: str = "query_id", order: str = "rank", text: str = "text", also: tuple[Column, ...] = ()) -> DataFrame:
+    """A source for each section of a question, in the order in which its first chunk was ranked, texts joined by blank lines; also: more aggregates."""
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n")
-    return rows.groupBy(per, *keys).agg(F.min(order).alias("first"), joined.alias(text), F.max("score").alias("score"))
+    return rows.groupBy(per, *keys).agg(F.min(order).alias("first"), joined.alias(text), F.max("score").alias("score"), *also)
 
 
 def contexts(retrieved: DataFrame, keys: list[str]) -> DataFrame:
     """(query_id, index, keys, context, tokens, score): numbered sources within both budgets. A source that leaves enough of its own
     budget is followed by the beginning of its section."""
     rows = retrieved.withColumn("parent", F.coalesce("parent_text", F.lit("")))
-    own = grouped(rows, keys).join(rows.groupBy("query_id", *keys).agg(F.max("parent").alias("parent")), ["query_id", *keys])
+    own = grouped(rows, keys, also=(F.max("parent").alias("parent"),))
     body = own.withColumn("body", X.truncated(X.without_noise("text"), PER_SOURCE))
     room = PER_SOURCE - X.token_count("body") - PARENT_MARGIN
     extra = F.when((room > PARENT_LEAST) & (F.col("parent") != "") & (F.col("parent") != F.col("text")), F.concat(F.lit("\n\n"), F.array_join(F.slice(F.split("parent", r"\s+"), F.lit(1), F.greatest(room, F.lit(1))), " "))).otherwise("")

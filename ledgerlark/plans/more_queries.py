@@ -12,6 +12,7 @@ from ledgerlark.plans.registry import query
 from ledgerlark.plans.retrieval_queries import BM25, PASSES, ROWS_SQL, _terms, statement_rows
 from ledgerlark.plans.state_queries import SESSIONS_SQL, sessions_of, turns_of
 from ledgerlark.sources import filings
+from ledgerlark.tables import saved
 
 
 @query("ixbrl_strip", r"""SELECT page_id, md5(regexp_replace(regexp_replace('<?xml version="1.0"?>' || replace(html, '<p>', '<ix:nonFraction id="x"><p>'), '^\s*<\?xml[^?]*\?>', '', 'i'), '</?(?:ix|xbrli|xbrldi):[^>]*>', '', 'gi')) AS html_md5 FROM pages""")
@@ -138,7 +139,7 @@ def contexts_and_citations(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir)
     asked = fx.questions(spark, sf_dir)
     found = retrieval.retrieve(rows, fx.vectors(spark, sf_dir), asked, fx.KEYS).withColumn("parent_text", F.col("text"))
-    sources = context.contexts(found, [*fx.KEYS, "section_name", "chunk_type"])
+    sources = saved(context.contexts(found, [*fx.KEYS, "section_name", "chunk_type"]))
     told = context.extracted(sources).select("query_id", _sha(F.col("answer")).alias("answer_md5"))
     named = sources.withColumns({"company": F.col("source"), "ticker": F.col("source"), "fiscal_year": F.lit(2024)})
     return told.join(context.citations(named).select("query_id", F.size("citations").alias("n"), F.to_json("citations").alias("citations")), "query_id")
