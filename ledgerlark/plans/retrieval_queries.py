@@ -114,8 +114,9 @@ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source,
 SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM o) WHERE rank <= k""")
 def diversity_quota(spark, sf_dir):
     asked, rows = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
-    ranked = retrieval.bm25(rows, asked).join(rows.select("chunk_id", *fx.KEYS, "section_name", "chunk_type"), "chunk_id").join(asked.select("query_id", "k"), "query_id")
-    return retrieval.diverse(ranked, [*fx.KEYS, "section_name", "chunk_type"], F.col("k")).select("query_id", "chunk_id", "score", "rank")
+    groups = [*fx.KEYS, "section_name", "chunk_type"]
+    ranked = retrieval.sparse(rows, asked, retrieval.QUOTA, groups).drop("rank").join(asked.select("query_id", "k"), "query_id")
+    return retrieval.diverse(ranked, groups, F.col("k")).select("query_id", "chunk_id", "score", "rank")
 
 
 PARENT_KEYS = [*fx.KEYS, "filing", "section_id"]
