@@ -129,7 +129,7 @@ g AS (SELECT query_id, source, lang, section_name, min(rank) AS first, md5(strin
 SELECT query_id, source, lang, section_name, first, text_md5, score FROM g""")
 def first_seen_groups(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir)
-    best = retrieval.candidates(retrieval.passes(rows, fx.vectors(spark, sf_dir), fx.questions(spark, sf_dir), fx.KEYS)).join(rows, "chunk_id")
+    best = retrieval.looked_up(retrieval.candidates(retrieval.passes(rows, fx.vectors(spark, sf_dir), fx.questions(spark, sf_dir), fx.KEYS)), rows)
     keys = [*fx.KEYS, "section_name"]
     return context.grouped(best, keys).select("query_id", *keys, "first", _sha(F.col("text")).alias("text_md5"), "score")
 
