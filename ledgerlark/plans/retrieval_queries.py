@@ -15,7 +15,7 @@ BM25 = fx.bm25_sql("chunks", "bm")
 
 @query("bm25_topk", f"WITH {fx.CHUNKS_SQL}, {BM25} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM bm) WHERE rank < 10")
 def bm25_topk(spark, sf_dir):
-    return retrieval.top(retrieval.bm25(fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir)), 10, ["query_id"])
+    return retrieval.sparse(fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir), 10)
 
 
 @query("cosine_topk", f"WITH {fx.CHUNKS_SQL} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM (SELECT q.query_id, v.chunk_id, round({fx.COSINE_SQL}, 6) AS score FROM vectors v, questions q WHERE q.dense IS NOT NULL)) WHERE rank < 10")
