@@ -151,7 +151,7 @@ g AS (SELECT item_id, any_value(question) AS question, any_value(truth) AS truth
 
 def eval_runs(spark, sf_dir):
     rows, asked = fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir)
-    found = retrieval.top(retrieval.bm25(rows, asked), 5, ["query_id"]).join(rows.select("chunk_id", "text"), "chunk_id")
+    found = retrieval.looked_up(retrieval.sparse(rows, asked, 5), rows.select("chunk_id", "text"))
     found = found.groupBy("query_id").agg(F.sort_array(F.collect_list("text")).alias("contexts")).join(asked.select("query_id", "question"), "query_id")
     return found.select(F.col("query_id").alias("item_id"), "question", F.col("question").alias("answer"), F.col("question").alias("ground_truth"), "contexts")
 
