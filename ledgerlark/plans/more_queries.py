@@ -119,8 +119,8 @@ s AS (SELECT query_id, chunk_id, round(CAST(len(list_intersect({_terms("question
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM s) WHERE rank < 15""")
 def rerank(spark, sf_dir):
     rows, asked = fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir)
-    found = retrieval.top(retrieval.bm25(rows, asked), retrieval.CANDIDATES, ["query_id"]).select("query_id", "chunk_id")
-    pairs = found.join(rows.select("chunk_id", "text"), "chunk_id").join(asked.select("query_id", "question"), "query_id")
+    found = retrieval.sparse(rows, asked, retrieval.CANDIDATES).select("query_id", "chunk_id")
+    pairs = retrieval.looked_up(found, rows.select("chunk_id", "text")).join(asked.select("query_id", "question"), "query_id")
     return retrieval.top(pairs.select("query_id", "chunk_id", F.round(retrieval.overlap_score("question", "text"), 6).alias("score")), 15, ["query_id"])
 
 
