@@ -165,7 +165,7 @@ t AS (SELECT query_id, chunk_id, rank, CAST(len(regexp_extract_all(text, '[\\p{{
 SELECT query_id, chunk_id, rank, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM t) WHERE run <= 8500 OR rank = 0""")
 def context_budget(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir)
-    ranked = retrieval.top(retrieval.bm25(rows, fx.questions(spark, sf_dir)), 40, ["query_id"]).join(rows.select("chunk_id", F.regexp_count("text", F.lit(X.TERM)).cast("long").alias("tokens")), "chunk_id")
+    ranked = retrieval.looked_up(retrieval.sparse(rows, fx.questions(spark, sf_dir), 40), rows.select("chunk_id", "text")).withColumn("tokens", F.regexp_count("text", F.lit(X.TERM)).cast("long"))
     return context.within_budget(ranked).select("query_id", "chunk_id", "rank", "tokens")
 
 
