@@ -62,6 +62,8 @@ STATEMENTS = [
     (r"^consolidated\s+statements?\s+of\s+(stockholders|shareholders|changes\s+in\s+equity)\s*$", "fs_equity", "Consolidated Statements of Equity"),
     (r"^financial\s+statements?\s*$", "fs_income_stmt", "Financial Statements"),
 ]
+#: Words of which every pattern above needs one: other lines meet none of them.
+WORDS = ("item", "consolidated", "note", "risk", "management", "financial", "quantitative", "controls")
 ITEM_CELLS = [(r"^item\s*1\.?\s*business$", "item_1_business", "Item 1: Business")]
 PRIORITY = {
     "item_1_business": 10, "item_1a_risk_factors": 15, "item_1b_staff": 16, "item_1c_cyber": 17, "item_2_properties": 20, "item_3_legal": 30, "item_4_mine": 40,
@@ -108,6 +110,12 @@ def heading(line: Column, patterns: list[tuple[str, str, str]] = HEADINGS) -> Co
     return found
 
 
+def may_head(line: Column) -> Column:
+    """Whether a line has a word that headings need: the patterns, which take far longer, are tried on such lines alone."""
+    low = F.lower(line)
+    return reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in WORDS))
+
+
 def headed(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """lines with met (section_id, title; null where a line heads nothing) and sentinel.
 
@@ -121,11 +129,13 @@ def headed(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     none = F.lit(None).cast("struct<section_id:string,title:string>")
     named = reduce(lambda c, t: c.when(F.lower(F.substr("line", F.lit(len(SENTINEL) + 1))) == t[2].lower(), F.struct(F.lit(t[1]).alias("section_id"), F.lit(t[2]).alias("title"))), [*STATEMENTS, *ITEM_CELLS], F.when(F.lit(False), none))
     sentinel = F.startswith("line", F.lit(SENTINEL))
-    # one chain of patterns over up to three readings: three chains would be too long to compile
+    # the chain of patterns over arrays of readings: three chains would be too long to compile; a line that heads something is read no further
     spaced, tight = F.concat_ws(" ", "line", "next"), F.concat("line", F.coalesce("next", F.lit("")))
-    readings = F.when(split, F.array("line", spaced, tight)).otherwise(F.array("line"))
-    found = F.filter(F.transform(readings, lambda x: heading(x)), lambda h: h.isNotNull())
-    return rows.withColumn("met", F.when(sentinel, named).otherwise(F.get(found, F.lit(0)))).withColumn("sentinel", sentinel).drop("next")
+    first = lambda *readings: F.get(F.filter(F.transform(F.array(*readings), lambda x: heading(x)), lambda h: h.isNotNull()), F.lit(0))
+    found = F.coalesce(first("line"), F.when(split, first(spaced, tight)))
+    # a generator of one row, so that a filter on what is met doesn't find it a second time
+    met = F.explode_outer(F.array(F.when(sentinel, named).when(may_head(F.col("line")), found)))
+    return rows.select("*", met.alias("met")).withColumn("sentinel", sentinel).drop("next")
 
 
 def candidates(lines: DataFrame, doc: str = "doc_id", first: float = 0.15, last: float = 0.97, met: DataFrame | None = None) -> DataFrame:
@@ -150,10 +160,10 @@ def priority(section: str = "section_id") -> Column:
 def monotonic(chosen: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Items in the order of a filing: an item stays if its priority is above those of all before it (a rejected one never
     was above a kept one). Statements always stay."""
-    items = chosen.where(F.startswith("section_id", F.lit("item_"))).withColumn("priority", priority())
+    own = F.when(F.startswith("section_id", F.lit("item_")), priority())
     so_far = F.max("priority").over(W.partitionBy(doc).orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    kept = items.withColumn("so_far", so_far).where(F.col("priority") > F.coalesce("so_far", F.lit(-1))).drop("priority", "so_far")
-    return kept.unionByName(chosen.where(~F.startswith("section_id", F.lit("item_"))))
+    rows = chosen.withColumn("priority", own).withColumn("so_far", so_far)  # one pass: what is chosen is not made twice
+    return rows.where(F.col("priority").isNull() | (F.col("priority") > F.coalesce("so_far", F.lit(-1)))).drop("priority", "so_far")
 
 
 def recovered(lines: DataFrame, chosen: DataFrame, doc: str = "doc_id", least: int = 1000) -> DataFrame:
@@ -161,7 +171,7 @@ def recovered(lines: DataFrame, chosen: DataFrame, doc: str = "doc_id", least: i
     its title. Joined on the document, with the line between two starts."""
     bounds = chosen.withColumn("end", F.coalesce(F.lead("i").over(W.partitionBy(doc).orderBy("i")), F.col("n_lines"))).where(F.col("end") - F.col("i") >= least)
     bounds = bounds.select(F.col(doc).alias("of"), F.col("i").alias("start"), "end")
-    titles = lines.where(F.length("line").between(1, 120)).withColumn("met", heading(F.col("line"), STATEMENTS)).where("met is not null")
+    titles = lines.where(F.length("line").between(1, 120) & may_head(F.col("line"))).withColumn("met", heading(F.col("line"), STATEMENTS)).where("met is not null")
     inside = titles.join(bounds, (F.col(doc) == F.col("of")) & (F.col("i") > F.col("start")) & (F.col("i") < F.col("end"))).select(doc, "n_lines", "i", "met.*")
     first = inside.groupBy(doc, "section_id").agg(F.min_by(F.struct("n_lines", "i", "title"), "i").alias("best")).select(doc, "section_id", "best.*")
     return first.join(chosen.select(doc, "section_id"), [doc, "section_id"], "left_anti")

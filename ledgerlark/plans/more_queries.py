@@ -57,7 +57,7 @@ f AS (SELECT t.doc_id, t.section_id, min(t.i) AS i FROM t JOIN bound b ON b.doc_
 SELECT doc_id, section_id, i FROM f WHERE (doc_id, section_id) NOT IN (SELECT (doc_id, section_id) FROM mono)""")
 def statement_recovery(spark, sf_dir):
     lines = filing_lines(spark, sf_dir)
-    chosen = parsing.monotonic(parsing.selected(parsing.candidates(lines)))
+    chosen = saved(parsing.monotonic(parsing.selected(parsing.candidates(lines))))
     return parsing.recovered(lines, chosen, least=3).select("doc_id", "section_id", "i")
 
 
