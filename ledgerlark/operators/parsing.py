@@ -171,6 +171,7 @@ def recovered(lines: DataFrame, chosen: DataFrame, doc: str = "doc_id", least: i
     its title. Joined on the document, with the line between two starts."""
     bounds = chosen.withColumn("end", F.coalesce(F.lead("i").over(W.partitionBy(doc).orderBy("i")), F.col("n_lines"))).where(F.col("end") - F.col("i") >= least)
     bounds = bounds.select(F.col(doc).alias("of"), F.col("i").alias("start"), "end")
+    lines = lines.where(F.col("n_lines") >= least)  # shorter documents have no such section, and aren't taken apart
     titles = lines.where(F.length("line").between(1, 120) & may_head(F.col("line"))).withColumn("met", heading(F.col("line"), STATEMENTS)).where("met is not null")
     inside = titles.join(bounds, (F.col(doc) == F.col("of")) & (F.col("i") > F.col("start")) & (F.col("i") < F.col("end"))).select(doc, "n_lines", "i", "met.*")
     first = inside.groupBy(doc, "section_id").agg(F.min_by(F.struct("n_lines", "i", "title"), "i").alias("best")).select(doc, "section_id", "best.*")
