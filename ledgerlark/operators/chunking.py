@@ -37,15 +37,16 @@ def text_chunks(docs: DataFrame, text: str = "text", most: int = MAX_TOKENS, ove
     return rows.withColumn("token_count", X.token_count("chunk_text"))
 
 
-def table_parts(text: Column, most: Column | int) -> Column:
+def table_parts(text: Column, most: Column | int, figures: str = X.FIN_CELL) -> Column:
     """Array of the parts of a markdown table of more than `most` tokens. Each part repeats the first two lines and the
-    rows before the first with a figure (of the first eight); what is left is cut into equal numbers of rows."""
+    rows before the first with a figure (of the first eight); what is left is cut into equal numbers of rows. figures is the pattern of a
+    cell that is a figure."""
     lines = F.split(F.trim(text), "\n")
     whole = F.array(text)
 
     def cut(own: Column) -> Column:
         head, rows = F.slice(own, 1, 2), F.slice(own, 3, F.greatest(F.size(own) - 2, F.lit(0)))
-        figure = lambda r: F.exists(F.transform(F.split(r, r"\|"), lambda x: F.trim(x)), lambda c: c.rlike(X.FIN_CELL))
+        figure = lambda r: F.exists(F.transform(F.split(r, r"\|"), lambda x: F.trim(x)), lambda c: c.rlike(figures))
         first = F.array_position(F.transform(F.slice(rows, 1, 8), figure), True)
         context = F.when(first > 0, first - 1).otherwise(F.least(F.size(rows), F.lit(8))).cast("int")
         fixed = F.concat(head, F.slice(rows, 1, context))

@@ -119,10 +119,10 @@ steps AS (SELECT *, CASE WHEN total <= 60 THEN len(own) ELSE greatest(1, (60 - h
 SELECT sup, CAST(k AS INTEGER) AS position, md5(array_to_string(list_concat(['| Row | Net | Count |', '| --- | --- | --- |'], own[k * step + 1 : k * step + step]), chr(10))) AS part_md5
 FROM (SELECT *, unnest(range(0, CAST(ceil(len(own) / step) AS BIGINT))) AS k FROM steps)""")
 def table_split(spark, sf_dir):
-    # all rows have figures of five digits, so that no row is context
+    # every number is a figure here, however small, so that no row is context
     head = F.array(F.lit("| Row | Net | Count |"), F.lit("| --- | --- | --- |"))
     tables = statement_rows(spark, sf_dir).groupBy("sup").agg(F.array_join(F.concat(head, F.sort_array(F.collect_list("text"))), "\n").alias("text"))
-    parts = tables.select("sup", F.posexplode(chunking.table_parts(F.col("text"), 60)).alias("position", "part"))
+    parts = tables.select("sup", F.posexplode(chunking.table_parts(F.col("text"), 60, r"^-?\d+$")).alias("position", "part"))
     return parts.select("sup", "position", _sha(F.col("part")).alias("part_md5"))
 
 
